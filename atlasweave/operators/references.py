@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import urls as U
+from ..functions.labels import lookup
 from ..functions.stages import stage
 from ..functions.text import clean_text, strip
 from ..sources.css import with_css_urls
@@ -54,11 +55,6 @@ def _candidate(**given) -> Column:
     return F.struct(*fields)
 
 
-def _when(condition: Column, *candidates: Column) -> Column:
-    empty = F.array().cast("array<struct<" + ",".join(f"{n}:{t}" for n, t in _FIELDS.items()) + ">>")
-    return F.when(condition, F.array(*candidates)).otherwise(empty)
-
-
 def _listed(names: list[str]) -> Column:
     """The element's attributes among ``names``, in the order of ``names``."""
     order = F.array(*[F.lit(n) for n in names])
@@ -68,86 +64,96 @@ def _listed(names: list[str]) -> Column:
     )
 
 
+_ATTRIBUTES = {
+    n: n.replace("-", "_").replace(":", "_")
+    for n in (
+        "src", "srcset", "alt", "title", "aria-label", "width", "height", "type", "property", "name", "itemprop",
+        "content", "rel", "href", "sizes", "poster", "xlink:href", "data",
+    )
+}
+
+
+def _read_attributes(elements: DataFrame) -> DataFrame:
+    """Stage every attribute the rules look at, so each is found once per element."""
+    df = stage(
+        elements,
+        **{f"a_{c}": attribute(n) for n, c in _ATTRIBUTES.items()},
+        lazy_src=_listed(K.LAZY_SRC_ATTRIBUTES),
+        lazy_sets=_listed(K.LAZY_SRCSET_ATTRIBUTES),
+        geo_attrs=_listed(K.GEO_DATA_ATTRIBUTES),
+    )
+    lazy_sets = F.flatten(
+        F.transform(
+            "lazy_sets",
+            lambda a: F.transform(
+                parse_srcset(a["value"]),
+                lambda c, i: F.struct((a["i"] * 100_000 + 10_000_000 + i).cast("int").alias("sub"), c.alias("c")),
+            ),
+        )
+    )
+    return stage(
+        df,
+        alt=clean_text(F.col("a_alt")),
+        label=clean_text(F.coalesce("a_alt", "a_aria_label")),
+        title=clean_text(F.col("a_title")),
+        width=declared_size(F.col("a_width")),
+        height=declared_size(F.col("a_height")),
+        set_=parse_srcset(F.col("a_srcset")),
+        lazy_set_=lazy_sets,
+        rel=F.lower(strip(F.col("a_rel"))),
+        type=F.lower(F.coalesce("a_type", F.lit(""))),
+        meta_name=F.lower(F.coalesce("a_property", "a_name", "a_itemprop")),
+    )
+
+
 def _candidates() -> Column:
-    tag = F.col("tag")
-    alt, title = clean_text(attribute("alt")), clean_text(attribute("title"))
-    path, hint = F.col("element_path"), F.col("context_hint")
-    width, height = declared_size(attribute("width")), declared_size(attribute("height"))
+    """All candidates of one element, as an array; the position of a rule is its path rank."""
+    tag, path, hint = F.col("tag"), F.col("element_path"), F.col("context_hint")
+    has = lambda name: F.col(f"a_{name}")
     is_img, is_source = tag == "img", tag == "source"
-    lazy_src, lazy_sets = _listed(K.LAZY_SRC_ATTRIBUTES), _listed(K.LAZY_SRCSET_ATTRIBUTES)
     none = F.array().cast("array<struct<" + ",".join(f"{n}:{t}" for n, t in _FIELDS.items()) + ">>")
 
-    def srcset(value: Column, width_default, start: int, **shared) -> Column:
+    def srcset(start: int, width=None, **shared) -> Column:
         return F.transform(
-            parse_srcset(value),
+            "set_",
             lambda c, i: _candidate(
                 raw=c["url"], descriptor=c["descriptor"], sub=i + start,
-                declared_width=F.coalesce(c["width"], width_default) if width_default is not None else c["width"],
-                **shared,
+                declared_width=c["width"] if width is None else F.coalesce(c["width"], width), **shared,
             ),
         )
 
-    def lazy_lists(width_default, with_width: bool, **shared) -> Column:
-        return F.flatten(
-            F.transform(
-                lazy_sets,
-                lambda a: F.transform(
-                    parse_srcset(a["value"]),
-                    lambda c, i: _candidate(
-                        source_type="lazy-attribute", is_lazy=True, raw=c["url"], descriptor=c["descriptor"],
-                        sub=a["i"].cast("int") * 100_000 + 10_000_000 + i,
-                        declared_width=(F.coalesce(c["width"], width_default) if width_default is not None else c["width"])
-                        if with_width else F.lit(None),
-                        **shared,
-                    ),
-                ),
+    def lazy_lists(sized: bool, width=None, **shared) -> Column:
+        def one(e: Column) -> Column:
+            own = e["c"]["width"] if width is None else F.coalesce(e["c"]["width"], width)
+            return _candidate(
+                source_type="lazy-attribute", is_lazy=True, raw=e["c"]["url"], descriptor=e["c"]["descriptor"],
+                sub=e["sub"], declared_width=own if sized else F.lit(None), **shared,
             )
-        )
 
-    img = dict(path_rank=0, alt_text=alt, title=title, declared_height=height, element_path=path, context_hint=hint, is_lazy=False)
-    img_lazy = {**img, "is_lazy": True}
-    images = F.concat(
-        F.array(_candidate(source_type="img", raw=attribute("src"), sub=0, declared_width=width, **img)),
-        srcset(attribute("srcset"), width, 10, source_type="srcset", **img),
-        F.transform(
-            lazy_src,
-            lambda a: _candidate(
-                source_type="lazy-attribute", raw=a["value"], sub=a["i"].cast("int") + 1_000_000, declared_width=width, **img_lazy
-            ),
-        ),
-        lazy_lists(width, True, **{k: v for k, v in img_lazy.items() if k != "is_lazy"}),
-    )
+        return F.transform("lazy_set_", one)
+
+    def rule(condition: Column, *arrays: Column) -> Column:
+        # A missing attribute makes its array null, which must not blank the others.
+        return F.when(condition, F.concat(*[F.coalesce(a, none) for a in arrays]))
+
+    width, height = F.col("width"), F.col("height")
+    img = dict(path_rank=0, alt_text=F.col("alt"), title=F.col("title"), declared_height=height, element_path=path, context_hint=hint)
     source = dict(path_rank=1, alt_text=F.col("picture_alt"), title=F.col("picture_title"), element_path=path, context_hint=hint)
-    type_ = F.lower(attribute("type"))
-    usable_source = is_source & (type_.isNull() | (type_ == "") | type_.startswith("image/")) & (
-        F.col("in_picture") | attribute("srcset").isNotNull() | attribute("src").isNotNull()
-    )
-    sources = F.concat(
-        srcset(attribute("srcset"), None, 0, source_type="picture-source", is_lazy=False, **source),
-        F.array(_candidate(source_type="picture-source", raw=attribute("src"), sub=1_000_000, is_lazy=False, **source)),
-        lazy_lists(None, True, **source),
+    other = dict(path_rank=2, alt_text=F.col("label"), title=F.col("title"), element_path=path, context_hint=hint)
+    geo = dict(is_lazy=False, geo=True, alt_text=clean_text(F.col("text")), title=F.col("title"), element_path=path, context_hint=hint)
+    lazy = lambda a, start, **shared: _candidate(
+        source_type="lazy-attribute", is_lazy=True, raw=a["value"], sub=a["i"].cast("int") + start, **shared
     )
-    other = dict(
-        path_rank=2, alt_text=clean_text(F.coalesce(attribute("alt"), attribute("aria-label"))), title=title,
-        element_path=path, context_hint=hint,
+    plain = lambda source_type, raw, rank, **more: F.array(
+        _candidate(path_rank=rank, sub=0, source_type=source_type, raw=raw, is_lazy=False, **more)
     )
-    others = F.concat(
-        F.transform(
-            F.filter(lazy_src, lambda a: ~a["value"].contains(",")),
-            lambda a: _candidate(source_type="lazy-attribute", is_lazy=True, raw=a["value"], sub=a["i"], **other),
-        ),
-        lazy_lists(None, False, **other),
-    )
-    meta_name = F.lower(F.coalesce(attribute("property"), attribute("name"), attribute("itemprop")))
-    meta_source = F.coalesce(*[F.when(meta_name == k, F.lit(v)) for k, v in K.META_IMAGE_KEYS.items()])
-    rel = F.lower(strip(attribute("rel")))
     is_icon = F.arrays_overlap(
-        F.array_append(F.split(rel, r"\s+"), rel), F.array(*[F.lit(r) for r in K.ICON_RELS])
+        F.array_append(F.split("rel", r"\s+"), F.col("rel")), F.array(*[F.lit(r) for r in K.ICON_RELS])
     )
-    sizes = strip(attribute("sizes"))
+    sizes = strip(has("sizes"))
     px = lambda g: F.nullif(F.regexp_extract(sizes, r"(?i)^(\d+)x(\d+)$", g), F.lit("")).cast("int")
     css = F.transform(
-        F.col("css_urls"),
+        "css_urls",
         lambda r, i: _candidate(
             path_rank=F.when(tag == "style", 6).otherwise(5), sub=i, source_type="css-inline", raw=r["url"], is_lazy=False,
             element_path=F.when(tag == "style", "style").otherwise(path),
@@ -155,65 +161,66 @@ def _candidates() -> Column:
         ),
     )
     json_images = F.transform(
-        F.coalesce(F.col("json_images"), F.array().cast("array<struct<url:string,hint:string>>")),
+        "json_images",
         lambda j, i: _candidate(
             path_rank=7, sub=i, source_type="schema-org", raw=j["url"], context_hint=j["hint"], is_lazy=False,
             element_path='script[type="application/ld+json"]',
         ),
     )
-    geo = dict(is_lazy=False, geo=True, alt_text=clean_text(F.col("text")), title=title, element_path=path, context_hint=hint)
-    geo_attrs = F.transform(
-        _listed(K.GEO_DATA_ATTRIBUTES),
-        lambda a: _candidate(path_rank=a["i"].cast("int") + 20, sub=0, source_type="data-attribute", raw=a["value"], **geo),
-    )
     embed_values = F.filter(
-        F.transform(
-            U.query_pairs(F.regexp_extract(attribute("src"), r"\?([^#]*)", 1)), lambda e: e["v"]
-        ),
+        F.transform(U.query_pairs(F.regexp_extract(has("src"), r"\?([^#]*)", 1)), lambda e: e["v"]),
         lambda v: v.rlike("(?i)^https?://"),
     )
     embeds = F.transform(
-        F.concat(F.array(attribute("src")), embed_values),
+        F.concat(F.array(has("src")), embed_values),
         lambda v, i: _candidate(path_rank=40, sub=i, source_type="map-embed", raw=v, **geo),
     )
-    parts = [
-        F.when(is_img, images).otherwise(none),
-        F.when(usable_source, sources).otherwise(none),
-        F.when(~is_img & ~is_source, others).otherwise(none),
-        _when(
+    meta_source = lookup(F.col("meta_name"), K.META_IMAGE_KEYS)
+    link_hint = F.concat(F.lit("link rel="), F.col("rel"))
+    rules = [
+        rule(
+            is_img,
+            F.array(_candidate(source_type="img", raw=has("src"), sub=0, declared_width=width, is_lazy=False, **img)),
+            srcset(10, width, source_type="srcset", is_lazy=False, **img),
+            F.transform("lazy_src", lambda a: lazy(a, 1_000_000, declared_width=width, **img)),
+            lazy_lists(True, width, **img),
+        ),
+        rule(
+            is_source & ((F.col("type") == "") | F.col("type").startswith("image/"))
+            & (F.col("in_picture") | has("srcset").isNotNull() | has("src").isNotNull()),
+            srcset(0, source_type="picture-source", is_lazy=False, **source),
+            F.array(_candidate(source_type="picture-source", raw=has("src"), sub=1_000_000, is_lazy=False, **source)),
+            lazy_lists(True, **source),
+        ),
+        rule(
+            ~is_img & ~is_source,
+            F.transform(F.filter("lazy_src", lambda a: ~a["value"].contains(",")), lambda a: lazy(a, 0, **other)),
+            lazy_lists(False, **other),
+        ),
+        rule(
             (tag == "meta") & meta_source.isNotNull(),
-            _candidate(path_rank=3, sub=0, source_type=meta_source, raw=attribute("content"), is_lazy=False,
-                       context_hint=F.concat(F.lit("meta "), meta_name)),
+            plain(meta_source, has("content"), 3, context_hint=F.concat(F.lit("meta "), F.col("meta_name"))),
         ),
-        F.when(
+        rule(
             (tag == "link") & is_icon,
-            F.array(
-                _candidate(path_rank=4, sub=0, source_type="link-icon", raw=attribute("href"), is_lazy=False,
-                           declared_width=px(1), declared_height=px(2), context_hint=F.concat(F.lit("link rel="), rel),
-                           element_path=F.concat(F.lit('link[rel="'), rel, F.lit('"]')))
-            ),
-        )
-        .when(
-            (tag == "link") & (rel == "image_src"),
-            F.array(_candidate(path_rank=4, sub=0, source_type="meta-other", raw=attribute("href"), is_lazy=False,
-                               context_hint="link rel=image_src")),
-        )
-        .otherwise(none),
-        F.coalesce(css, none),
+            plain("link-icon", has("href"), 4, declared_width=px(1), declared_height=px(2), context_hint=link_hint,
+                  element_path=F.concat(F.lit('link[rel="'), F.col("rel"), F.lit('"]'))),
+        ),
+        rule((tag == "link") & ~is_icon & (F.col("rel") == "image_src"), plain("meta-other", has("href"), 4, context_hint=link_hint)),
+        css,
         json_images,
-        _when(tag == "video", _candidate(path_rank=8, sub=0, source_type="video-poster", raw=attribute("poster"), is_lazy=False,
-                                         element_path=path, context_hint="video poster")),
-        _when(tag == "image", _candidate(path_rank=9, sub=0, source_type="svg-image", is_lazy=False, element_path=path,
-                                         raw=F.coalesce(attribute("href"), attribute("xlink:href")), context_hint="svg image")),
-        _when((tag == "input") & (attribute("type") == "image"),
-              _candidate(path_rank=10, sub=0, source_type="input-image", raw=attribute("src"), is_lazy=False, alt_text=alt, element_path=path)),
-        _when((tag == "object") & attribute("type").startswith("image/"),
-              _candidate(path_rank=11, sub=0, source_type="meta-other", raw=attribute("data"), is_lazy=False, element_path=path)),
-        _when(tag == "a", _candidate(path_rank=19, sub=0, source_type="anchor-href", raw=attribute("href"), **geo)),
-        F.coalesce(geo_attrs, none),
-        F.when(tag.isin("iframe", "embed") & (attribute("src") != ""), embeds).otherwise(none),
+        rule(tag == "video", plain("video-poster", has("poster"), 8, element_path=path, context_hint="video poster")),
+        rule(tag == "image", plain("svg-image", F.coalesce(has("href"), has("xlink_href")), 9, element_path=path, context_hint="svg image")),
+        rule((tag == "input") & (has("type") == "image"), plain("input-image", has("src"), 10, alt_text=F.col("alt"), element_path=path)),
+        rule((tag == "object") & has("type").startswith("image/"), plain("meta-other", has("data"), 11, element_path=path)),
+        rule(tag == "a", F.array(_candidate(path_rank=19, sub=0, source_type="anchor-href", raw=has("href"), **geo))),
+        F.transform(
+            "geo_attrs",
+            lambda a: _candidate(path_rank=a["i"].cast("int") + 20, sub=0, source_type="data-attribute", raw=a["value"], **geo),
+        ),
+        rule(tag.isin("iframe", "embed") & (has("src") != ""), embeds),
     ]
-    return F.concat(*parts)
+    return F.concat(*[F.coalesce(r, none) for r in rules])
 
 
 def references(elements: DataFrame) -> DataFrame:
@@ -226,7 +233,7 @@ def references(elements: DataFrame) -> DataFrame:
     df = stage(elements, _css=F.when(F.col("tag") == "style", F.col("text")).when(style.contains("url("), style))
     limit = F.when(F.col("tag") == "style", K.STYLE_BLOCK_URLS).otherwise(K.INLINE_STYLE_URLS)
     df = with_css_urls(df, "_css", "css_urls", limit)
-    df = df.select(*BASE, "ordinal", F.inline(_candidates()))
+    df = _read_attributes(df).select(*BASE, "ordinal", F.inline(_candidates()))
     df = df.filter(U.is_fetchable(F.col("raw")))
     df = U.with_resolved(df, "raw", "base_url", "resolved_url", parsed="base").filter("resolved_url is not null")
     df = U.with_filename(df, "resolved_url", "_name")
