@@ -102,43 +102,50 @@ def export_caps(rows: DataFrame, group: list[str]) -> DataFrame:
 # ---------------------------------------------------------------------------------- archives
 
 
-def _stem(name: Column) -> Column:
-    return F.when(name.rlike(r"^.+\.[^.]*$"), F.regexp_replace(name, r"\.[^.]*$", "")).otherwise(name)
-
-
-def _suffix(name: Column) -> Column:
-    return F.when(name.rlike(r"^.+\.[^.]*$"), F.regexp_extract(name, r"(\.[^.]*)$", 1)).otherwise("")
+def _number_names(names: list[str | None]) -> list[str | None]:
+    """Names of one archive in order, repeats numbered ``name (2).ext`` with the next free number."""
+    taken: set[str] = set()
+    out = []
+    for name in names:
+        if name is None:
+            out.append(None)
+            continue
+        dot = name.rfind(".")
+        stem, ext = (name[:dot], name[dot:]) if dot > 0 else (name, "")
+        entry, n = name, 1
+        while entry in taken:
+            n += 1
+            entry = f"{stem} ({n}){ext}"
+        taken.add(entry)
+        out.append(entry)
+    return out
+
+
+def _numbered(entries: DataFrame, archive: list[str], name: str, order: str) -> DataFrame:
+    df = entries.withColumn("entry", F.lit(None).cast("string"))
+
+    def number(group):
+        group = group.sort_values(order, kind="stable")
+        return group.assign(entry=_number_names(list(group[name])))
+
+    return df.groupBy(*archive).applyInPandas(number, df.schema)
 
 
 def unique_entry_names(entries: DataFrame, archive: list[str], name: str = "name", order: str = "seq") -> DataFrame:
-    """Names made unique within an archive: the n-th holder of a name becomes ``name (n).ext``.
+    """Add ``entry``: the name made unique within its archive, in order.
 
-    Numbers already taken by a literal ``name (n).ext`` are skipped. Literal names that look
-    numbered are joined to the base name they could collide with, so a name is only compared
-    with its own numbered forms, never with the whole archive.
+    Whether a number is free depends on every earlier name, so archives with a repeated name
+    are numbered as a whole, one archive per group. An archive holds at most
+    ``MAX_ARCHIVE_ENTRIES`` entries; a larger one is refused, and its entries stay null.
     """
-    base = entries.withColumn("_base", F.col(name))
-    turn = Window.partitionBy(*archive, "_base").orderBy(order)
-    ranked = base.withColumn("_turn", F.row_number().over(turn))
-    # Numbers of each base name that literal entries hold from the start.
-    pattern = r"^(.*) \((\d+)\)(\.[^.]*)?$"
-    literal = entries.filter(F.col(name).rlike(pattern)).select(
-        *archive,
-        F.concat(F.regexp_extract(name, pattern, 1), F.regexp_extract(name, pattern, 3)).alias("_base"),
-        F.regexp_extract(name, pattern, 2).cast("bigint").alias("_held"),
-    ).distinct()
-    first = ranked.filter("_turn = 1").withColumn("entry", F.col(name))
-    repeats = ranked.filter("_turn > 1")
-    # Only the numbers up to the count of repeats matter; held ones push later repeats on.
-    held = literal.filter("_held >= 2").groupBy(*archive, "_base").agg(F.array_sort(F.collect_set("_held")).alias("_helds"))
-    repeats = repeats.join(held, [*archive, "_base"], "left")
-    number = F.aggregate(
-        F.coalesce("_helds", F.array().cast("array<bigint>")), F.col("_turn").cast("bigint"),
-        lambda n, h: F.when(h <= n, n + 1).otherwise(n),
+    sizes = entries.groupBy(*archive, name).agg(F.count(F.lit(1)).alias("_n")).groupBy(*archive).agg(
+        F.sum("_n").alias("_entries"), F.max("_n").alias("_repeats")
     )
-    named = F.concat(_stem(F.col(name)), F.lit(" ("), number.cast("string"), F.lit(")"), _suffix(F.col(name)))
-    repeats = repeats.withColumn("entry", named).drop("_helds")
-    return first.unionByName(repeats).drop("_base", "_turn")
+    df = entries.join(sizes, archive)
+    fits = F.col("_entries") <= K.MAX_ARCHIVE_ENTRIES
+    plain = df.filter(~fits | (F.col("_repeats") == 1)).withColumn("entry", F.when(fits, F.col(name)))
+    repeated = df.filter(fits & (F.col("_repeats") > 1))
+    return plain.unionByName(_numbered(repeated, archive, name, order)).drop("_entries", "_repeats")
 
 
 def archive_budget(
@@ -147,13 +154,15 @@ def archive_budget(
 ) -> DataFrame:
     """Which files fit: skip one that would exceed the total but keep later, smaller ones.
 
-    An archive holds at most ``max_files`` selected files (larger selections are refused, as
-    ``refused`` archives), so the ordered fold below is over a bounded array.
+    A selection of more than ``max_files`` is refused as a whole, as one row. Reading stops
+    one file beyond that, so the array folded per archive is bounded however large the
+    selection. Adds note, running, files_included, files_selected and total_bytes.
     """
-    sizes = files.groupBy(*archive).agg(F.count(F.lit(1)).alias("_files"))
-    small = files.join(sizes.filter(F.col("_files") <= max_files).drop("_files"), archive)
-    row = F.struct("seq", "asset_id", F.col("bytes").cast("bigint").alias("bytes"))
-    lists = small.groupBy(*archive).agg(F.array_sort(F.collect_list(row)).alias("files"))
+    rest = [c for c in files.columns if c not in (*archive, "seq", "bytes")]
+    turn = Window.partitionBy(*archive).orderBy("seq")
+    head = files.withColumn("_n", F.row_number().over(turn)).filter(F.col("_n") <= max_files + 1)
+    row = F.struct("seq", F.col("bytes").cast("bigint").alias("bytes"), *rest)
+    lists = head.groupBy(*archive).agg(F.array_sort(F.collect_list(row)).alias("files"))
 
     def step(acc: Column, f: Column) -> Column:
         note = (
@@ -163,20 +172,29 @@ def archive_budget(
             .otherwise("included")
         )
         total = acc["total"] + F.when(note == "included", f["bytes"]).otherwise(F.lit(0).cast("bigint"))
-        out = F.struct(f["seq"].alias("seq"), f["asset_id"].alias("asset_id"), f["bytes"].alias("bytes"), note.alias("note"), total.alias("running"))
-        return F.struct(total.alias("total"), F.array_append(acc["out"], out).alias("out"))
+        return F.struct(total.alias("total"), F.array_append(acc["notes"], F.struct(note.alias("note"), total.alias("running"))).alias("notes"))
 
     start = F.struct(
-        F.lit(0).cast("bigint").alias("total"),
-        F.array().cast("array<struct<seq:bigint,asset_id:string,bytes:bigint,note:string,running:bigint>>").alias("out"),
+        F.lit(0).cast("bigint").alias("total"), F.array().cast("array<struct<note:string,running:bigint>>").alias("notes")
+    )
+    fits = F.size("files") <= max_files
+    refusal = F.struct(
+        F.lit(f"refused: a single download is limited to {max_files} files").alias("note"), F.lit(None).cast("bigint").alias("running")
     )
-    folded = lists.withColumn("files", F.aggregate("files", start, step)["out"])
-    kept = folded.select(*archive, F.inline("files"))
-    refused = files.join(sizes.filter(F.col("_files") > max_files).drop("_files"), archive).select(
-        *archive, "seq", "asset_id", F.col("bytes").cast("bigint").alias("bytes"),
-        F.lit(f"refused: a single download is limited to {max_files} files").alias("note"), F.lit(None).cast("bigint").alias("running"),
+    folded = lists.withColumn("_notes", F.when(fits, F.aggregate("files", start, step)["notes"]).otherwise(F.array(refusal)))
+    folded = folded.withColumn("files", F.when(fits, F.col("files")).otherwise(F.slice("files", 1, 1)))
+    rows = folded.select(
+        *archive,
+        F.size(F.filter("_notes", lambda n: n["note"] == "included")).cast("bigint").alias("files_included"),
+        F.when(fits, F.size("files")).cast("bigint").alias("files_selected"),
+        F.element_at("_notes", -1)["running"].alias("total_bytes"),
+        F.inline(F.arrays_zip("files", "_notes")),
+    )
+    fields = ["seq", "bytes", *rest]
+    return rows.select(
+        *archive, *[F.col(f"files.{c}").alias(c) for c in fields], F.col("_notes.note").alias("note"),
+        F.col("_notes.running").alias("running"), "files_included", "files_selected", "total_bytes",
     )
-    return kept.unionByName(refused)
 
 
 def download_manifest(assets: DataFrame, archive: list[str]) -> DataFrame:
@@ -184,19 +202,11 @@ def download_manifest(assets: DataFrame, archive: list[str]) -> DataFrame:
 
     Expects seq, asset_id, asset_kind, filename, url, source_page and bytes.
     """
-    budget = archive_budget(assets, archive).select(*archive, "asset_id", "note")
-    df = assets.join(budget, [*archive, "asset_id"])
-    included = df.filter("note = 'included'")
+    df = archive_budget(assets, archive)
+    columns = [*archive, "entry", "url", "source_page", "bytes", "status", "note", "files_included", "files_selected", "total_bytes"]
     folder = F.when(F.col("asset_kind") == "geo", "geo-data").otherwise("images")
     fallback = F.concat(F.lit("asset-"), F.col("seq").cast("string"))
-    included = included.withColumn("name", safe_entry_name(F.col("filename"), fallback))
-    named = unique_entry_names(included, archive, "name", "seq").withColumn("entry", F.concat_ws("/", folder, "entry"))
-    columns = [*archive, "entry", "url", "source_page", "bytes", "status", "note"]
-    rows = named.withColumn("status", F.lit("included")).select(columns).unionByName(
-        df.filter("note <> 'included'").withColumns({"entry": F.lit(None).cast("string"), "status": F.lit("skipped")}).select(columns)
-    )
-    totals = df.groupBy(*archive).agg(
-        F.count_if(F.col("note") == "included").alias("files_included"), F.count(F.lit(1)).alias("files_selected"),
-        F.sum(F.when(F.col("note") == "included", F.col("bytes"))).alias("total_bytes"),
-    )
-    return rows.join(totals, archive)
+    df = df.withColumn("name", F.when(F.col("note") == "included", safe_entry_name(F.col("filename"), fallback)))
+    # One pass: the budget bounds an archive to a few hundred rows, skipped files keep no name.
+    named = _numbered(df, archive, "name", "seq").withColumn("entry", F.when(F.col("entry").isNotNull(), F.concat_ws("/", folder, "entry")))
+    return named.withColumn("status", F.when(F.col("note") == "included", "included").otherwise("skipped")).select(columns)

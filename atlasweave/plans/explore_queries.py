@@ -170,16 +170,20 @@ def export_cap(spark, sf):
     return E.export_caps(assets(spark, sf), ["scan_id"])
 
 
-@query("unique_entry_names", with_views("v_responses") + """, n AS (SELECT scan_id, seq, CASE WHEN seq % 7 = 0 THEN split_part(body_text, '#', 1) || ' (2).png' ELSE coalesce(split_part(body_text, '#', 1), 'none') || '.png' END AS name FROM v_responses),
-k AS (SELECT *, row_number() OVER (PARTITION BY scan_id, name ORDER BY seq) AS turn FROM n),
-held AS (SELECT DISTINCT scan_id, regexp_replace(name, ' \\(2\\)', '') AS base FROM n WHERE contains(name, ' (2)'))
-SELECT scan_id, seq, name, CASE WHEN turn = 1 THEN name ELSE regexp_replace(name, '\\.png$', '') || ' (' || (turn + CASE WHEN base IS NULL THEN 0 ELSE 1 END) || ').png' END AS entry
-FROM k LEFT JOIN held h ON h.scan_id = k.scan_id AND h.base = k.name""".replace("k.scan_id AND", "k.scan_id AND").replace("SELECT scan_id, seq, name, CASE WHEN turn", "SELECT k.scan_id, seq, name, CASE WHEN turn"))
+_FREE = "list_filter(range(2, 200), lambda k: NOT list_contains(st.taken, n.stem || ' (' || k || ')' || '.png'))[1]"
+
+
+@query("unique_entry_names", with_views("v_responses") + f""", n AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY archive ORDER BY seq) AS turn, regexp_replace(name, '\\.png$', '') AS stem FROM (
+ SELECT scan_id || '-' || CAST(floor(seq / 100) AS BIGINT) AS archive, seq, coalesce(split_part(p_brand, '#', 1), 'none') || CASE WHEN seq % 7 = 0 THEN ' (2)' ELSE '' END || '.png' AS name FROM v_responses JOIN part ON p_partkey = seq)),
+st AS (SELECT archive, seq, turn, name AS entry, [name] AS taken FROM n WHERE turn = 1
+ UNION ALL SELECT n.archive, n.seq, n.turn, CASE WHEN list_contains(st.taken, n.name) THEN n.stem || ' (' || {_FREE} || ').png' ELSE n.name END AS e,
+  list_append(st.taken, CASE WHEN list_contains(st.taken, n.name) THEN n.stem || ' (' || {_FREE} || ').png' ELSE n.name END) FROM st JOIN n ON n.archive = st.archive AND n.turn = st.turn + 1)
+SELECT archive, seq, entry FROM st""")
 def unique_entry_names(spark, sf):
-    brand = F.split_part("body_text", F.lit("#"), F.lit(1))
-    name = F.when(F.col("seq") % 7 == 0, F.concat(brand, F.lit(" (2).png"))).otherwise(F.concat(F.coalesce(brand, F.lit("none")), F.lit(".png")))
-    df = view(spark, sf, "v_responses").select("scan_id", "seq", name.alias("name")).withColumn("name", F.coalesce("name", F.lit(None)))
-    return E.unique_entry_names(df, ["scan_id"])
+    df = view(spark, sf, "v_responses").join(view(spark, sf, "part").withColumnRenamed("p_partkey", "seq"), "seq")
+    name = F.concat(F.split_part("p_brand", F.lit("#"), F.lit(1)), F.when(F.col("seq") % 7 == 0, " (2)").otherwise(""), F.lit(".png"))
+    archive = F.concat_ws("-", "scan_id", F.floor(F.col("seq") / 100).cast("string"))
+    return E.unique_entry_names(df.select(archive.alias("archive"), "seq", name.alias("name")), ["archive"]).select("archive", "seq", "entry")
 
 
 def _archive_files(spark, sf):
