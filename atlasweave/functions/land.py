@@ -55,14 +55,11 @@ def stated_area(entries: Column) -> Column:
 
 def place_steps(entries: Column) -> Column:
     """``array<struct<name,kind>>`` of the places a feature's properties name, broadest first."""
-    groups = [
-        F.transform(
-            F.filter(entries, lambda e, keys=keys: _normal_key(e["key"]).isin(*keys) & (strip(e["value"]) != "")),
-            lambda e, kind=kind: F.struct(strip(e["value"]).alias("name"), F.lit(kind).alias("kind")),
-        )
-        for kind, keys in K.PLACE_KEYS
-    ]
-    found = F.concat(*groups)
+    def named(kind: str, keys: list[str]) -> Column:
+        hits = F.filter(entries, lambda e: _normal_key(e["key"]).isin(*keys) & (strip(e["value"]) != ""))
+        return F.transform(hits, lambda e: F.struct(strip(e["value"]).alias("name"), F.lit(kind).alias("kind")))
+
+    found = F.concat(*[named(kind, keys) for kind, keys in K.PLACE_KEYS])
     lowered = F.transform(found, lambda s: F.lower(s["name"]))
     first = F.filter(found, lambda s, i: F.array_position(lowered, F.lower(s["name"])) == i + 1)
     order = F.array(*[F.lit(k) for k in K.PLACE_ORDER])
