@@ -34,7 +34,7 @@ def asset_references(refs: DataFrame) -> DataFrame:
     Expects scan_id, source_page, source_type, original_url, resolved_url, descriptor,
     element_path, alt_text, title, is_lazy and the order columns.
     """
-    df = U.with_canonical(refs, "resolved_url", "canonical_url")
+    df = refs if "canonical_url" in refs.columns else U.with_canonical(refs, "resolved_url", "canonical_url")
     order = F.struct(*ORDER)
     # Hash by page as well as asset: a logo on every page is spread over all tasks.
     df = df.repartition("scan_id", "canonical_url", "source_page")

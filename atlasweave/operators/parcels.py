@@ -233,7 +233,9 @@ def bundle_layout(records: DataFrame, trails: DataFrame, best: DataFrame, root:
 
     ``images`` has asset_id, url, format, http_status, truncated of the recorded responses.
     """
-    df = records.join(trails, "location_id", "left").join(best.select("parcel_id", "asset_id", "confidence", "reason"), "parcel_id", "left")
+    df = records.join(trails, "location_id", "left").join(
+        best.select("parcel_id", "asset_id", F.col("confidence").alias("association"), F.col("reason").alias("association_reason")), "parcel_id", "left"
+    )
     df = df.join(images, "asset_id", "left")
     trail = F.coalesce("trail", "folder_path", F.array().cast("array<string>"))
     df = stage(df, _trail=trail)
@@ -256,8 +258,8 @@ def bundle_layout(records: DataFrame, trails: DataFrame, best: DataFrame, root:
             .when(F.col("http_status") >= 400, F.concat(F.lit("Image skipped: the server responded HTTP "), F.col("http_status").cast("string"), F.lit(".")))
             .when(F.col("truncated"), "Image skipped: it exceeded the per-file size limit.")
             .when(
-                F.col("confidence") != "verified",
-                F.concat(F.lit('Image association is "'), F.col("confidence"), F.lit('": '), F.col("reason"), F.lit(" Check it before relying on the pairing.")),
+                F.col("association") != "verified",
+                F.concat(F.lit('Image association is "'), F.col("association"), F.lit('": '), F.col("association_reason"), F.lit(" Check it before relying on the pairing.")),
             ),
         )
     )
@@ -273,3 +275,33 @@ def export_contents(layout: DataFrame, group: list[str]) -> DataFrame:
         F.count(F.lit(1)).alias("records"), F.count("kml_path").alias("with_kml"), F.count("image_path").alias("with_image"),
         is_("complete"), is_("partial"), is_("failed"),
     )
+
+
+def geojson_lines(records: DataFrame) -> DataFrame:
+    """Each parcel with geometry as one GeoJSON feature line, in WGS 84, keyed by map.
+
+    Source properties come after the record's own fields. Written as text per map this is
+    newline-delimited GeoJSON; no map is ever collected into one value.
+    """
+    from .kml import geometry_json
+
+    own = F.array(
+        *[
+            F.struct(F.lit(k).alias("key"), F.to_json(F.struct(F.col(c).alias("v"))).alias("j"))
+            for k, c in (
+                ("name", "name"), ("reference", "reference"), ("areaSquareMetres", "area_square_metres"), ("areaBasis", "area_basis"),
+                ("sourceCrs", "source_crs"), ("transformed", "transformed"), ("geometrySource", "geometry_source"), ("sourcePage", "source_page"),
+            )
+        ]
+    )
+    value = lambda j: F.coalesce(F.nullif(F.regexp_extract(j, r'(?s)^\{"v":(.*)\}$', 1), F.lit("")), F.lit("null"))
+    quoted = lambda text: F.regexp_extract(F.to_json(F.struct(text.alias("v"))), r'(?s)^\{"v":(.*)\}$', 1)
+    given = F.transform("entries", lambda e: F.struct(e["key"].alias("key"), quoted(e["value"]).alias("j")))
+    kept = F.filter(own, lambda o: ~F.exists("entries", lambda e: e["key"] == o["key"]))
+    fields = F.concat(F.transform(kept, lambda o: F.concat(quoted(o["key"]), F.lit(":"), value(o["j"]))),
+                      F.transform(given, lambda e: F.concat(quoted(e["key"]), F.lit(":"), e["j"])))
+    line = F.concat(
+        F.lit('{"type":"Feature","id":'), quoted(F.col("parcel_id")), F.lit(',"properties":{'), F.array_join(fields, ","),
+        F.lit('},"geometry":'), geometry_json(F.col("geometry_type"), F.col("parts")), F.lit("}"),
+    )
+    return records.select("map_id", "parcel_id", line.alias("value"))

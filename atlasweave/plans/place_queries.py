@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import crs as C, urls as U
 from ..operators import assets as A, kml as KML, links as LK, parcels as P, places as PL
+from ..session import checkpointed
 from ..sources.html import page_markup
 from ..views import view, with_views
 from . import duck as D
@@ -15,79 +18,98 @@ from .geo_queries import _RING, _STATED, features
 from .registry import query
 
 
-def model_features(spark, sf):
-    return features(spark, sf).withColumn("scan_id", F.lit("all"))
-
-
-def parcels(spark, sf):
-    return P.parcels(model_features(spark, sf))
-
-
-def _references(spark, sf):
-    refs = A.with_resolved_refs(view(spark, sf, "v_refs")).withColumn("scan_id", F.lit("all"))
-    return refs
-
-
-def images(spark, sf):
-    df = A.describe_assets(A.consolidate_assets(_references(spark, sf))).filter("asset_kind = 'image'")
-    return df.withColumns(
-        {
-            "seq": F.struct("first_seen", "canonical_url"), "width": (F.col("page_count") % 7 * 100).cast("int"), "height": F.lit(100),
-            "category": F.when(F.col("url").contains("/maps/"), "map").otherwise("photo"),
-        }
-    )
-
-
-def page_images(spark, sf):
-    refs = U.with_canonical(_references(spark, sf), "resolved_url", "canonical_url")
-    ids = U.asset_id(F.col("scan_id"), F.col("canonical_url"))
-    return refs.select("source_page", ids.alias("asset_id")).distinct()
-
-
-def overlays(spark, sf):
-    pages = view(spark, sf, "v_features").select("map_url", "source_page").distinct()
-    df = view(spark, sf, "v_overlays").join(pages, "map_url")
-    return df.withColumn("map_id", U.short_id("map", F.col("map_url")))
-
-
-def links(spark, sf, records=None):
-    records = parcels(spark, sf) if records is None else records
-    return LK.parcel_images(records, images(spark, sf), page_images(spark, sf), overlays(spark, sf))
-
-
-def documents(spark, sf):
-    """Geographic files: those with features, and the referenced ones nothing was read from."""
-    f = view(spark, sf, "v_features")
-    read = f.groupBy("map_url").agg(
-        F.min("source_page").alias("source_page"), F.min_by("document_name", "ord").alias("document_name")
-    ).withColumns(
-        {"source_crs": F.lit(C.WGS84), "warnings": F.array().cast("array<string>"), "geo_format": F.lit("kml"),
-         "filename": F.element_at(F.split("map_url", "/"), -1)}
-    )
-    geo = A.describe_assets(A.consolidate_assets(_references(spark, sf))).filter("asset_kind = 'geo'")
-    none = F.lit(None).cast("string")
-    unread = geo.select(
-        F.col("url").alias("map_url"), "source_page", none.alias("document_name"), none.alias("source_crs"),
-        F.array().cast("array<string>").alias("warnings"), "geo_format", "filename",
-    )
-    return read.unionByName(unread)
-
-
-def imagery(spark, sf):
-    pages = documents(spark, sf).select("source_page")
-    return P.imagery_parcels(images(spark, sf), page_images(spark, sf), pages)
-
-
-def _titles(spark, sf):
-    t = view(spark, sf, "v_html").select("url", F.lit(None).cast("string").alias("title")).limit(0)
-    refs = view(spark, sf, "v_refs").filter("page_seq % 3 = 0").select(F.col("source_page").alias("url")).distinct()
-    return t.unionByName(refs.withColumn("title", F.concat(F.lit("Sheet "), F.element_at(F.split("url", "-"), -1))))
-
-
-def all_maps(spark, sf, records=None, found=None):
-    records = parcels(spark, sf) if records is None else records
-    found = links(spark, sf, records) if found is None else found
-    return P.geometry_maps(records, documents(spark, sf), found).unionByName(P.imagery_maps(imagery(spark, sf), _titles(spark, sf)))
+class Model:
+    """The land-record model over one data directory.
+
+    Tables that several steps read are checkpointed the first time they are needed, as a
+    pipeline would write them, so no query resolves and consolidates the references twice.
+    """
+
+    def __init__(self, spark, sf):
+        self.spark, self.sf = spark, sf
+
+    @cached_property
+    def features(self):
+        return features(self.spark, self.sf).withColumn("scan_id", F.lit("all"))
+
+    @cached_property
+    def records(self):
+        return checkpointed(P.parcels(self.features))
+
+    @cached_property
+    def references(self):
+        refs = A.with_resolved_refs(view(self.spark, self.sf, "v_refs")).withColumn("scan_id", F.lit("all"))
+        return checkpointed(U.with_canonical(refs, "resolved_url", "canonical_url"))
+
+    @cached_property
+    def assets(self):
+        return checkpointed(A.describe_assets(A.consolidate_assets(self.references)))
+
+    @cached_property
+    def images(self):
+        return self.assets.filter("asset_kind = 'image'").withColumns(
+            {
+                "seq": F.struct("first_seen", "canonical_url"), "width": (F.col("page_count") % 7 * 100).cast("int"), "height": F.lit(100),
+                "category": F.when(F.col("url").contains("/maps/"), "map").otherwise("photo"),
+            }
+        )
+
+    @cached_property
+    def page_images(self):
+        ids = U.asset_id(F.col("scan_id"), F.col("canonical_url"))
+        return self.references.select("source_page", ids.alias("asset_id")).distinct()
+
+    @cached_property
+    def overlays(self):
+        pages = view(self.spark, self.sf, "v_features").select("map_url", "source_page").distinct()
+        df = view(self.spark, self.sf, "v_overlays").join(pages, "map_url")
+        return df.withColumn("map_id", U.short_id("map", F.col("map_url")))
+
+    @cached_property
+    def links(self):
+        return checkpointed(LK.parcel_images(self.records, self.images, self.page_images, self.overlays))
+
+    @cached_property
+    def documents(self):
+        """Geographic files: those with features, and the referenced ones nothing was read from."""
+        f = view(self.spark, self.sf, "v_features")
+        read = f.groupBy("map_url").agg(
+            F.min("source_page").alias("source_page"), F.min_by("document_name", "ord").alias("document_name")
+        ).withColumns(
+            {"source_crs": F.lit(C.WGS84), "warnings": F.array().cast("array<string>"), "geo_format": F.lit("kml"),
+             "filename": F.element_at(F.split("map_url", "/"), -1)}
+        )
+        none = F.lit(None).cast("string")
+        unread = self.assets.filter("asset_kind = 'geo'").select(
+            F.col("url").alias("map_url"), "source_page", none.alias("document_name"), none.alias("source_crs"),
+            F.array().cast("array<string>").alias("warnings"), "geo_format", "filename",
+        )
+        return read.unionByName(unread)
+
+    @cached_property
+    def imagery(self):
+        return checkpointed(P.imagery_parcels(self.images, self.page_images, self.documents.select("source_page")))
+
+    @cached_property
+    def titles(self):
+        refs = view(self.spark, self.sf, "v_refs").filter("page_seq % 3 = 0").select(F.col("source_page").alias("url")).distinct()
+        return refs.withColumn("title", F.concat(F.lit("Sheet "), F.element_at(F.split("url", "-"), -1)))
+
+    @cached_property
+    def geometry_maps(self):
+        return P.geometry_maps(self.records, self.documents, self.links)
+
+    @cached_property
+    def maps(self):
+        return checkpointed(self.geometry_maps.unionByName(P.imagery_maps(self.imagery, self.titles)))
+
+    @cached_property
+    def places(self):
+        return checkpointed(PL.locations(self.records))
+
+    @cached_property
+    def all_parcels(self):
+        return P.all_parcels(self.records, self.imagery)
 
 
 # ------------------------------------------------------------------ the same model in SQL
@@ -146,29 +168,24 @@ tr AS (SELECT l.location_id, (SELECT string_agg(x.name, ' > ' ORDER BY x.depth)
 PLACES = MODEL + ", " + NODES_CTE
 
 
-def places(spark, sf, records=None):
-    records = parcels(spark, sf) if records is None else records
-    return PL.locations(records)
-
-
 def ranked_places(spark, sf):
-    records = parcels(spark, sf)
-    counts = records.select(
+    model = Model(spark, sf)
+    counts = model.records.select(
         "location_id", "ancestor_ids", F.lit(0).alias("map_count"), F.lit(1).alias("parcel_count"), F.lit(0).alias("image_count"),
         F.col("kml_available").cast("int").alias("geometry_count"),
     )
-    return PL.locations(records).join(PL.location_rollups(counts), "location_id")
+    return model.places.join(PL.location_rollups(counts), "location_id")
 
 
 @query("parcel_location_paths", MODEL + " SELECT ord, array_to_string(names, ' > ') AS path, array_to_string(evs[1:len(names)], ',') AS evidence, location_id FROM pf")
 def parcel_location_paths(spark, sf):
     n = lambda f: F.transform("nodes", lambda x: x[f])
-    return parcels(spark, sf).select("ord", F.array_join(n("name"), " > ").alias("path"), F.array_join(n("evidence"), ",").alias("evidence"), "location_id")
+    return Model(spark, sf).records.select("ord", F.array_join(n("name"), " > ").alias("path"), F.array_join(n("evidence"), ",").alias("evidence"), "location_id")
 
 
 @query("locations", PLACES + " SELECT location_id, name, kind, parent_id, CAST(depth AS INTEGER) AS depth, source_page, evidence FROM loc JOIN ev USING (location_id)")
 def locations(spark, sf):
-    df = places(spark, sf)
+    df = Model(spark, sf).places
     return df.select("location_id", "name", "kind", "parent_id", "depth", "source_page", F.array_join("evidence", ",").alias("evidence"))
 
 
@@ -176,16 +193,10 @@ _ROLL = FULL + """, ev0 AS (SELECT ids, 1 AS m, 0 AS p, 0 AS i, 0 AS g FROM mp U
  UNION ALL SELECT ids, 0, 1, 1, 0 FROM im), roll AS (SELECT location_id, sum(m)::BIGINT AS map_count, sum(p)::BIGINT AS parcel_count, sum(i)::BIGINT AS image_count, sum(g)::BIGINT AS geometry_count FROM (SELECT unnest(ids) AS location_id, m, p, i, g FROM ev0) GROUP BY location_id)"""
 
 
-def _placed(spark, sf):
-    """Maps, records and links, with the records and links of the model computed once."""
-    records = parcels(spark, sf)
-    found = links(spark, sf, records)
-    return records, found, all_maps(spark, sf, records, found)
-
-
 @query("location_rollups", _ROLL + " SELECT * FROM roll")
 def location_rollups(spark, sf):
-    records, found, maps = _placed(spark, sf)
+    model = Model(spark, sf)
+    records, found, maps = model.records, model.links, model.maps
     n = found.groupBy("parcel_id").agg(F.count(F.lit(1)).alias("n"))
     zero = F.lit(0)
     rows = [
@@ -194,19 +205,19 @@ def location_rollups(spark, sf):
             "location_id", "ancestor_ids", zero.alias("map_count"), F.lit(1).alias("parcel_count"), F.coalesce("n", zero).alias("image_count"),
             F.col("kml_available").cast("int").alias("geometry_count"),
         ),
-        imagery(spark, sf).select("location_id", "ancestor_ids", zero.alias("map_count"), F.lit(1).alias("parcel_count"), F.lit(1).cast("bigint").alias("image_count"), zero.alias("geometry_count")),
+        model.imagery.select("location_id", "ancestor_ids", zero.alias("map_count"), F.lit(1).alias("parcel_count"), F.lit(1).cast("bigint").alias("image_count"), zero.alias("geometry_count")),
     ]
     return PL.location_rollups(rows[0].unionByName(rows[1]).unionByName(rows[2]))
 
 
 @query("location_trails", PLACES + " SELECT location_id, trail FROM tr")
 def location_trails(spark, sf):
-    return PL.location_trails(places(spark, sf)).select("location_id", F.array_join("trail", " > ").alias("trail"))
+    return PL.location_trails(Model(spark, sf).places).select("location_id", F.array_join("trail", " > ").alias("trail"))
 
 
 @query("location_descendants", PLACES + " SELECT r.name AS root, l.location_id, l.name FROM loc l JOIN loc r ON r.parent_id IS NULL AND l.ids[1] = r.location_id")
 def location_descendants(spark, sf):
-    df = places(spark, sf)
+    df = Model(spark, sf).places
     roots = df.filter("parent_id is null").select(F.col("location_id").alias("root_id"), F.col("name").alias("root"))
     tree = df.withColumn("root_id", F.get("ancestor_ids", 0)).join(roots, "root_id")
     return PL.location_descendants(tree, F.col("root_id")).select("root", "location_id", "name")
@@ -217,15 +228,15 @@ def root_locations(spark, sf):
     return PL.root_locations(ranked_places(spark, sf)).select("location_id", "name", "parcel_count", "geometry_count")
 
 
-@query("search_locations", PLACES + " SELECT location_id, name FROM loc WHERE contains(lower(name), 'an')")
+@query("search_locations", PLACES + " SELECT location_id, name FROM loc WHERE contains(lower(name), 'ati')")
 def search_locations(spark, sf):
-    return PL.search_locations(ranked_places(spark, sf), " AN ", limit=None).select("location_id", "name")
+    return PL.search_locations(ranked_places(spark, sf), " ATI ", limit=None).select("location_id", "name")
 
 
-@query("ranked_location_hits", PLACES + " SELECT location_id, name, parcel_count, trail FROM loc JOIN cn USING (location_id) JOIN tr USING (location_id) WHERE contains(lower(name), 'an') ORDER BY parcel_count DESC, name, location_id LIMIT 60")
+@query("ranked_location_hits", PLACES + " SELECT location_id, name, parcel_count, trail FROM loc JOIN cn USING (location_id) JOIN tr USING (location_id) WHERE contains(lower(name), 'ati') ORDER BY parcel_count DESC, name, location_id LIMIT 60")
 def ranked_location_hits(spark, sf):
     df = ranked_places(spark, sf)
-    hits = PL.search_locations(df, "an", limit=60).select("location_id", "name", "parcel_count")
+    hits = PL.search_locations(df, "ati", limit=60).select("location_id", "name", "parcel_count")
     return hits.join(PL.location_trails(df), "location_id").withColumn("trail", F.array_join("trail", " > "))
 
 
@@ -234,7 +245,7 @@ _PARCEL_SQL = "parcel_id, map_id, location_id, reference, name, CASE WHEN kml_av
 
 @query("parcels", MODEL + f" SELECT ord, {_PARCEL_SQL} FROM pf")
 def parcel_rows(spark, sf):
-    return parcels(spark, sf).select(
+    return Model(spark, sf).records.select(
         "ord", "parcel_id", "map_id", "location_id", "reference", "name", "geometry_availability", "kml_available",
         F.round("area_square_metres", 1).alias("area"), "area_basis", "source_page",
     )
@@ -242,12 +253,12 @@ def parcel_rows(spark, sf):
 
 @query("parcel_images", LINKED + " " + _LINK_OUT)
 def parcel_images(spark, sf):
-    return links(spark, sf).select("parcel_id", "asset_id", "rank", "confidence", "reason", "georeferenced")
+    return Model(spark, sf).links.select("parcel_id", "asset_id", "rank", "confidence", "reason", "georeferenced")
 
 
 @query("parcel_image_top12", LINKED + " SELECT parcel_id, count(*) AS n, max(rank)::INTEGER AS last_rank, string_agg(asset_id, ',' ORDER BY rank) AS assets FROM lk GROUP BY parcel_id")
 def parcel_image_top12(spark, sf):
-    return links(spark, sf).groupBy("parcel_id").agg(
+    return Model(spark, sf).links.groupBy("parcel_id").agg(
         F.count(F.lit(1)).alias("n"), F.max("rank").alias("last_rank"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "asset_id"))), lambda x: x["asset_id"]), ",").alias("assets"),
     )
@@ -255,7 +266,7 @@ def parcel_image_top12(spark, sf):
 
 @query("best_image", LINKED + f" SELECT parcel_id, asset_id, confidence FROM ({_LINK_OUT}) WHERE rank = 1")
 def best_image(spark, sf):
-    return P.best_images(links(spark, sf)).select("parcel_id", "asset_id", "confidence")
+    return P.best_images(Model(spark, sf).links).select("parcel_id", "asset_id", "confidence")
 
 
 @query("asset_features", with_views("v_features") + """
@@ -280,18 +291,18 @@ def _map_rows(df):
 
 @query("maps", FULL + f" SELECT {_MAP_COLUMNS} FROM mp WHERE map_kind = 'geometry'")
 def geometry_maps(spark, sf):
-    records = parcels(spark, sf)
-    return _map_rows(P.geometry_maps(records, documents(spark, sf), links(spark, sf, records)))
+    return _map_rows(Model(spark, sf).geometry_maps)
 
 
 @query("all_maps", FULL + f" SELECT {_MAP_COLUMNS} FROM mp")
 def maps_of_both_kinds(spark, sf):
-    return _map_rows(all_maps(spark, sf))
+    return _map_rows(Model(spark, sf).maps)
 
 
 @query("imagery_maps", FULL + " SELECT map_id, location_id, name, source_page, parcel_count FROM mp WHERE map_kind = 'imagery'")
 def imagery_maps(spark, sf):
-    df = P.imagery_maps(imagery(spark, sf), _titles(spark, sf))
+    model = Model(spark, sf)
+    df = P.imagery_maps(model.imagery, model.titles)
     return df.select("map_id", "location_id", "name", "source_page", "parcel_count")
 
 
@@ -306,19 +317,19 @@ def page_titles_join(spark, sf):
 @query("all_parcels", FULL + """ SELECT parcel_id, map_id, location_id, name, CASE WHEN kml_available THEN 'available' ELSE 'unverified' END AS geometry_availability FROM pf
 UNION ALL SELECT parcel_id, map_id, location_id, label, 'image-only' FROM im""")
 def all_parcels(spark, sf):
-    df = P.all_parcels(parcels(spark, sf), imagery(spark, sf))
+    df = Model(spark, sf).all_parcels
     return df.select("parcel_id", "map_id", "location_id", "name", "geometry_availability")
 
 
 @query("map_records", MODEL + " SELECT map_id, ids[1] AS root_id, count(*) AS parcels FROM pf GROUP BY ALL")
 def map_records(spark, sf):
-    df = parcels(spark, sf)
+    df = Model(spark, sf).records
     return df.groupBy("map_id", F.get("ancestor_ids", 0).alias("root_id")).agg(F.count(F.lit(1)).alias("parcels"))
 
 
 @query("merge_bbox", MODEL + " SELECT map_id, round(min(lon0), 6) AS west, round(min(lat0), 6) AS south, round(max(lon0 + sz), 6) AS east, round(max(lat0 + sz), 6) AS north FROM pf GROUP BY map_id")
 def merge_bbox(spark, sf):
-    df = P.merge_bbox(parcels(spark, sf), "map_id")
+    df = P.merge_bbox(Model(spark, sf).records, "map_id")
     return df.select("map_id", *[F.round(s, 6).alias(s) for s in P.BBOX])
 
 
@@ -331,11 +342,9 @@ sc AS (SELECT parent_id AS id, count(*) AS children FROM loc WHERE parent_id IS
 SELECT location_id, name, coalesce(maps, 0) AS maps, coalesce(parcels, 0) AS parcels, coalesce(images, 0) AS images, coalesce(kml_available, 0) AS kml_available, coalesce(image_only, 0) AS image_only, coalesce(unverified, 0) AS unverified, coalesce(children, 0) AS children,
  round(west, 6) AS west, round(south, 6) AS south, round(east, 6) AS east, round(north, 6) AS north FROM loc LEFT JOIN sm ON sm.id = location_id LEFT JOIN sp ON sp.id = location_id LEFT JOIN si ON si.id = location_id LEFT JOIN sc ON sc.id = location_id""")
 def location_summary(spark, sf):
-    records, found, maps = _placed(spark, sf)
-    pictures = imagery(spark, sf)
-    both = P.all_parcels(records, pictures)
-    every = found.select("parcel_id", "asset_id").unionByName(pictures.select("parcel_id", "asset_id"))
-    df = P.location_summary(maps, both, every, places(spark, sf, records))
+    model = Model(spark, sf)
+    every = model.links.select("parcel_id", "asset_id").unionByName(model.imagery.select("parcel_id", "asset_id"))
+    df = P.location_summary(model.maps, model.all_parcels, every, model.places)
     counts = [c for c in df.columns if c not in P.BBOX]
     return df.select(*counts, *[F.round(s, 6).alias(s) for s in P.BBOX])
 
@@ -343,15 +352,14 @@ def location_summary(spark, sf):
 @query("download_stats", FULL + """ SELECT map_id, count(*) AS total, count_if(kml)::BIGINT AS with_kml, count_if(img)::BIGINT AS with_image, count_if(av = 'i')::BIGINT AS image_only, count_if(av = 'u')::BIGINT AS unverified
 FROM (SELECT map_id, kml_available AS kml, parcel_id IN (SELECT parcel_id FROM lk) AS img, CASE WHEN kml_available THEN 'a' ELSE 'u' END AS av FROM pf UNION ALL SELECT map_id, FALSE, TRUE, 'i' FROM im) GROUP BY map_id""")
 def download_stats(spark, sf):
-    records = parcels(spark, sf)
-    pictures = imagery(spark, sf)
-    every = links(spark, sf, records).select("parcel_id").unionByName(pictures.select("parcel_id"))
-    return P.selection_stats(P.all_parcels(records, pictures), every, ["map_id"])
+    model = Model(spark, sf)
+    every = model.links.select("parcel_id").unionByName(model.imagery.select("parcel_id"))
+    return P.selection_stats(model.all_parcels, every, ["map_id"])
 
 
 @query("parcel_filter", FULL + " SELECT parcel_id, 'image' AS mode FROM pf WHERE NOT kml_available UNION ALL SELECT parcel_id, 'image' FROM im UNION ALL SELECT parcel_id, 'kml' FROM pf WHERE kml_available")
 def parcel_filter(spark, sf):
-    df = P.all_parcels(parcels(spark, sf), imagery(spark, sf))
+    df = Model(spark, sf).all_parcels
     pick = lambda mode: P.filter_parcels(df, mode).select("parcel_id", F.lit(mode).alias("mode"))
     return pick("image").unionByName(pick("kml"))
 
@@ -361,17 +369,17 @@ _TEXT = "lower(concat_ws(' ', coalesce(reference, ''), name, coalesce(prop_surve
 
 @query("search_parcels", MODEL + f" SELECT ord, parcel_id FROM pf WHERE contains(regexp_replace({_TEXT}, '[^\\w]', '', 'g'), '1252') OR contains({_TEXT}, '125-2')")
 def search_parcels(spark, sf):
-    return P.search_parcels(parcels(spark, sf), "125-2").select("ord", "parcel_id")
+    return P.search_parcels(Model(spark, sf).records, "125-2").select("ord", "parcel_id")
 
 
 @query("overlay_selection", LINKED + ", " + NODES_CTE + """, hit AS (SELECT DISTINCT unnest(pf.ids) AS location_id, i.url FROM lk JOIN pf USING (parcel_id) JOIN img i USING (asset_id) WHERE way = 0)
 SELECT DISTINCT location_id, map_url || '|' || href AS overlay_id, FALSE AS all_overlays FROM hit JOIN v_overlays o ON o.href = hit.url
 UNION ALL SELECT location_id, NULL, TRUE FROM loc WHERE location_id NOT IN (SELECT location_id FROM hit)""")
 def overlay_selection(spark, sf):
-    records = parcels(spark, sf)
-    found = links(spark, sf, records).join(images(spark, sf).select("asset_id", "url"), "asset_id")
-    shown = overlays(spark, sf).withColumn("overlay_id", F.concat_ws("|", "map_url", "href"))
-    return P.overlay_selection(shown, records, found, places(spark, sf, records))
+    model = Model(spark, sf)
+    found = model.links.join(model.images.select("asset_id", "url"), "asset_id")
+    shown = model.overlays.withColumn("overlay_id", F.concat_ws("|", "map_url", "href"))
+    return P.overlay_selection(shown, model.records, found, model.places)
 
 
 _LABEL_REF = "CASE WHEN contains(label, '125/2') THEN '125/2' END"
@@ -380,5 +388,5 @@ _LABEL_REF = "CASE WHEN contains(label, '125/2') THEN '125/2' END"
 @query("export_split", FULL + f""" SELECT parcel_id, kml_available AS exported, CASE WHEN NOT kml_available THEN coalesce(reference, name) || ' - geometry could not be verified (' || source_page || ')' END AS skip_line FROM pf
 UNION ALL SELECT parcel_id, FALSE, coalesce({_LABEL_REF}, label) || ' - map image only, no coordinates published (' || page || ')' FROM im""")
 def export_split(spark, sf):
-    df = P.all_parcels(parcels(spark, sf), imagery(spark, sf))
+    df = Model(spark, sf).all_parcels
     return KML.export_split(df).select("parcel_id", "exported", "skip_line")

@@ -30,5 +30,4 @@ def query(name: str, check: str | None = None):
 
 def load_all() -> None:
     for module in _MODULES:
-        if not (__import__("pathlib").Path(__file__).parent / f"{module}.py").exists(): continue
         importlib.import_module(f"atlasweave.plans.{module}")
