@@ -239,7 +239,7 @@ def bundle_layout(records: DataFrame, trails: DataFrame, best: DataFrame, root:
     df = df.join(images, "asset_id", "left")
     trail = F.coalesce("trail", "folder_path", F.array().cast("array<string>"))
     df = stage(df, _trail=trail)
-    sub = F.filter(F.transform(F.slice("_trail", F.lit(2), F.greatest(F.size("_trail") - 1, F.lit(0))), safe_segment), lambda s: s != "")
+    sub = F.filter(F.transform(F.slice("_trail", F.lit(2), F.greatest(F.size("_trail") - 1, F.lit(0))), lambda s: safe_segment(s)), lambda s: s != "")
     base = F.coalesce(F.nullif(safe_segment(F.coalesce("reference", "name")), F.lit("")), F.concat(F.lit("record_"), F.col("parcel_id")))
     df = stage(df, _sub=F.nullif(F.array_join(sub, "/"), F.lit("")), _base=base)
     kml = F.when(F.col("kml_available"), F.concat_ws("/", F.lit(root), F.lit("KML"), "_sub", kml_filename(F.col("_base"), F.lit("record"))))
