@@ -47,11 +47,7 @@ def numbered(rows: DataFrame, group: str, spread: Column, out: str, buckets: int
     rows = rows.withColumn("_bucket", F.pmod(F.xxhash64(spread), F.lit(buckets)).cast("int")).withColumn("_w", weight)
     totals = rows.groupBy(group, "_bucket").agg(F.sum("_w").alias("_n"))
     before = Window.partitionBy(group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select(F.col(group).alias("_g"), F.col("_bucket").alias("_b"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    starts = totals.select(group, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     inside = Window.partitionBy(group, "_bucket").orderBy(spread).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_in", F.coalesce(F.sum("_w").over(inside), F.lit(0)))
-    return (
-        rows.join(starts, (F.col(group) == F.col("_g")) & (F.col("_bucket") == F.col("_b")))
-        .withColumn(out, F.col("_start") + F.col("_in"))
-        .drop("_g", "_b", "_start", "_in", "_bucket", "_w")
-    )
+    return rows.join(starts, [group, "_bucket"]).withColumn(out, F.col("_start") + F.col("_in")).drop("_start", "_in", "_bucket", "_w")
