@@ -110,15 +110,9 @@ CSS_IMAGE_PROPERTY_REGEX = (
     r"(?i)(background(?:-image)?|border-image(?:-source)?|list-style(?:-image)?|mask(?:-image)?"
     r"|content|cursor|src)\s*:"
 )
-MAX_REFS_PER_PAGE = 2000
-MAX_LINKS_PER_PAGE = 500
 MAX_JSONLD_CHARS = 400_000
 MAX_JSONLD_DEPTH = 8
 MAX_JSONLD_RESULTS = 200
-INLINE_STYLE_URLS = 12
-STYLE_BLOCK_URLS = 120
-STYLESHEET_URLS = 200
-MAX_STYLESHEETS = 25
 DISCOVERY_SOURCES = [
     "img", "srcset", "picture-source", "lazy-attribute", "og-image", "twitter-image", "meta-other",
     "link-icon", "css-inline", "css-stylesheet", "schema-org", "video-poster", "svg-image",
@@ -266,8 +260,6 @@ EARTH_RADIUS = 6378137.0
 WGS84_FLATTENING = 1 / 298.257223563
 UTM_SCALE = 0.9996
 MERCATOR_MAX_LATITUDE = 85.05112878
-MAX_FEATURES_PER_FILE = 5000
-MAX_POSITIONS_PER_BLOCK = 100_000
 OUT_OF_RANGE_WARNING = (
     "Some coordinates fell outside the valid longitude/latitude range and were dropped. "
     "That usually means the file is in a projected system it did not declare."

@@ -108,7 +108,7 @@ def _number(text: Column) -> Column:
 
 
 def kml_positions(text: Column) -> Column:
-    """``struct<positions, decimals>`` of a KML coordinate block, capped at its first 100 001 positions."""
+    """``struct<positions, decimals>`` of a KML coordinate block."""
     tokens = F.filter(
         F.transform(F.split(strip(text), r"\s+"), lambda t: F.split(t, ",")), lambda t: F.size(t) >= 2
     )
@@ -124,10 +124,9 @@ def kml_positions(text: Column) -> Column:
         ),
         lambda p: p["lon"].isNotNull() & p["lat"].isNotNull(),
     )
-    kept = F.slice(read, 1, K.MAX_POSITIONS_PER_BLOCK + 1)
-    decimals = F.array_max(F.transform(kept, lambda p: p["dec"]))
+    decimals = F.array_max(F.transform(read, lambda p: p["dec"]))
     return F.struct(
-        F.transform(kept, lambda p: position(p["lon"], p["lat"], p["alt"])).alias("positions"),
+        F.transform(read, lambda p: position(p["lon"], p["lat"], p["alt"])).alias("positions"),
         F.coalesce(F.nullif(decimals, F.lit(0)), F.lit(6)).alias("decimals"),
     )
 

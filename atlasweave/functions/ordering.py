@@ -39,12 +39,17 @@ def first_per(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(row).select(*keys, *[F.col(f"_first.{c}").alias(c) for c in [*order, *rest]])
 
 
+def _by_value(digits: Column) -> Column:
+    """Digits without leading zeros, preceded by their number: longer ones are larger, equally long ones compare as text."""
+    return F.concat(F.lpad(F.length(digits).cast("string"), 10, "0"), digits)
+
+
 def natural_key(text: Column) -> Column:
     """Sort key that ignores case and accents and orders digit runs by value."""
     accents = "áàâäãåāéèêëēíìîïīóòôöõøōúùûüūçñýÿ"
     plain = "aaaaaaaeeeeeiiiiiooooooouuuuucnyy"
     runs = F.regexp_extract_all(F.translate(F.lower(text), accents, plain), F.lit(r"[0-9]+|[^0-9]+"), F.lit(0))
     padded = F.transform(
-        runs, lambda r: F.when(r.rlike("^[0-9]"), F.lpad(F.regexp_replace(r, "^0+([0-9])", "$1"), 20, "0")).otherwise(r)
+        runs, lambda r: F.when(r.rlike("^[0-9]"), _by_value(F.regexp_replace(r, "^0+([0-9])", "$1"))).otherwise(r)
     )
     return F.array_join(padded, "")

@@ -105,6 +105,7 @@ def export_caps(rows: DataFrame, group: list[str]) -> DataFrame:
 def _number_names(names: list[str | None]) -> list[str | None]:
     """Names of one archive in order, repeats numbered ``name (2).ext`` with the next free number."""
     taken: set[str] = set()
+    following: dict[str, int] = {}  # numbers below are taken for good
     out = []
     for name in names:
         if name is None:
@@ -112,10 +113,11 @@ def _number_names(names: list[str | None]) -> list[str | None]:
             continue
         dot = name.rfind(".")
         stem, ext = (name[:dot], name[dot:]) if dot > 0 else (name, "")
-        entry, n = name, 1
+        entry, n = name, following.get(name, 1)
         while entry in taken:
             n += 1
             entry = f"{stem} ({n}){ext}"
+        following[name] = n
         taken.add(entry)
         out.append(entry)
     return out

@@ -133,17 +133,17 @@ def location_descendants(places: DataFrame, root_id: Column | str) -> DataFrame:
     return places.filter(F.array_contains("ancestor_ids", root))
 
 
-def root_locations(places: DataFrame, limit: int = 60) -> DataFrame:
-    """Top-level places by what was found under them; a top-k report."""
-    limit = min(max(limit, 1), 200)
+def root_locations(places: DataFrame, limit: int | None = 60) -> DataFrame:
+    """Top-level places by what was found under them: the first ``limit``, or all for None."""
     order = [F.desc("parcel_count"), F.desc("geometry_count"), "name", "location_id"]
-    return places.filter("parent_id is null").orderBy(*order).limit(limit)
+    ranked = places.filter("parent_id is null").orderBy(*order)
+    return ranked if limit is None else ranked.limit(limit)
 
 
 def search_locations(places: DataFrame, query: str, limit: int | None = 60) -> DataFrame:
     """Places whose name contains the text, ranked by parcels; an empty text lists the roots."""
     needle = query.strip().lower()
     if not needle:
-        return root_locations(places, limit or 60)
+        return root_locations(places, limit)
     found = places.filter(F.lower("name").contains(needle)).orderBy(F.desc("parcel_count"), "name", "location_id")
     return found if limit is None else found.limit(limit)

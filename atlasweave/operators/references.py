@@ -223,16 +223,16 @@ def _candidates() -> Column:
     return F.concat(*[F.coalesce(r, none) for r in rules])
 
 
-def references(elements: DataFrame) -> DataFrame:
+def references(elements: DataFrame, max_per_page: int | None = None, max_css_urls: int | None = None) -> DataFrame:
     """All references of element rows, resolved, unique per page, in page order.
 
     Image references are keyed by (source type, URL, descriptor), geographic ones by (source
-    type, URL); at most ``MAX_REFS_PER_PAGE`` image references are kept per page, in order.
+    type, URL). All are kept unless ``max_per_page`` image references of a page, in order, or
+    ``max_css_urls`` of one style are asked for.
     """
     style = attribute("style")
     df = stage(elements, _css=F.when(F.col("tag") == "style", F.col("text")).when(style.contains("url("), style))
-    limit = F.when(F.col("tag") == "style", K.STYLE_BLOCK_URLS).otherwise(K.INLINE_STYLE_URLS)
-    df = with_css_urls(df, "_css", "css_urls", limit)
+    df = with_css_urls(df, "_css", "css_urls", max_css_urls)
     df = _read_attributes(df).select(*BASE, "ordinal", F.inline(_candidates()))
     df = df.filter(U.is_fetchable(F.col("raw")))
     df = U.with_resolved(df, "raw", "base_url", "resolved_url", parsed="base").filter("resolved_url is not null")
@@ -242,10 +242,9 @@ def references(elements: DataFrame) -> DataFrame:
     order = ["path_rank", "ordinal", "sub"]
     key = Window.partitionBy("page_id", "geo", "source_type", "resolved_url", F.coalesce("descriptor", F.lit(""))).orderBy(*order)
     df = df.withColumn("_n", F.row_number().over(key)).filter("_n = 1")
-    page = Window.partitionBy("page_id", "geo").orderBy(*order)
-    df = df.withColumn("_rank", F.row_number().over(page)).filter(
-        F.col("geo") | (F.col("_rank") <= K.MAX_REFS_PER_PAGE)
-    )
+    if max_per_page is not None:
+        page = Window.partitionBy("page_id", "geo").orderBy(*order)
+        df = df.withColumn("_rank", F.row_number().over(page)).filter(F.col("geo") | (F.col("_rank") <= max_per_page))
     return df.select(
         "page_id", F.col("url").alias("source_page"), "path_rank", "ordinal", "sub", "source_type",
         strip(F.col("raw")).alias("original_url"), "resolved_url", "descriptor", "declared_width", "declared_height",
@@ -282,15 +281,16 @@ def _page_hrefs(pages: DataFrame, tag: str) -> DataFrame:
     )
 
 
-def page_links(pages: DataFrame) -> DataFrame:
-    """Followable, page-like link targets, unique per page, at most the first 500 of a page."""
+def page_links(pages: DataFrame, max_links: int | None = None) -> DataFrame:
+    """Followable, page-like link targets, unique and ranked per page; all, or the first ``max_links`` of a page."""
     a = _page_hrefs(pages, "a").filter(~F.col("rel").contains("nofollow") & F.col("href").isNotNull())
     a = U.with_resolved(a, "href", "base_url", "link", parsed="base").filter("link is not null")
     a = U.with_url_parts(a, F.col("link"), "_k")
     a = a.filter(U.page_like(F.col("_k_path")))
     a = a.groupBy("page_id", "url", "link").agg(F.min("ordinal").alias("ordinal"))
     page = Window.partitionBy("page_id").orderBy("ordinal")
-    return a.withColumn("rank", F.row_number().over(page)).filter(F.col("rank") <= K.MAX_LINKS_PER_PAGE)
+    ranked = a.withColumn("rank", F.row_number().over(page))
+    return ranked if max_links is None else ranked.filter(F.col("rank") <= max_links)
 
 
 def page_stylesheets(pages: DataFrame) -> DataFrame:
@@ -317,8 +317,8 @@ def page_reference_counts(references_: DataFrame) -> DataFrame:
     return references_.groupBy("page_id").agg(F.count_if(~F.col("geo")).alias("image_refs"))
 
 
-def stylesheet_references(sheets_of_pages: DataFrame, stylesheets: DataFrame, max_sheets: int = K.MAX_STYLESHEETS) -> DataFrame:
-    """References in same-site style sheets: each sheet once per scan, the first ``max_sheets``.
+def stylesheet_references(sheets_of_pages: DataFrame, stylesheets: DataFrame, max_sheets: int | None = None, max_urls: int | None = None) -> DataFrame:
+    """References in same-site style sheets, each sheet once per scan: all, or the first ``max_sheets`` and ``max_urls`` of each.
 
     ``sheets_of_pages`` has (scan_id, page_id, url, stylesheet_url, ordinal), ``stylesheets``
     has (url, css).
@@ -330,10 +330,11 @@ def stylesheet_references(sheets_of_pages: DataFrame, stylesheets: DataFrame, ma
         F.min_by("url", F.struct("page_id", "ordinal")).alias("source_page"),
         F.min(F.struct("page_id", "ordinal")).alias("seen"),
     )
-    scan = Window.partitionBy("scan_id").orderBy("seen")
-    s = s.withColumn("_n", F.row_number().over(scan)).filter(F.col("_n") <= max_sheets)
+    if max_sheets is not None:
+        scan = Window.partitionBy("scan_id").orderBy("seen")
+        s = s.withColumn("_n", F.row_number().over(scan)).filter(F.col("_n") <= max_sheets)
     css = s.join(stylesheets.select(F.col("url").alias("stylesheet_url"), "css"), "stylesheet_url")
-    css = with_css_urls(css, "css", "found", F.lit(K.STYLESHEET_URLS))
+    css = with_css_urls(css, "css", "found", max_urls)
     css = css.select("scan_id", "source_page", "stylesheet_url", F.posexplode("found").alias("ordinal", "f"))
     css = css.select("*", F.col("f.url").alias("original_url"), F.col("f.context").alias("element_path")).drop("f")
     css = U.with_resolved(css, "original_url", "stylesheet_url", "resolved_url").filter("resolved_url is not null")

@@ -207,7 +207,7 @@ def page_links() -> str:
     links = parts(resolved(page_hrefs(), "href", "url", "link"), "link", "k")
     return f"""(SELECT * FROM (SELECT page_id, url, link, min(ordinal) AS ordinal,
   row_number() OVER (PARTITION BY page_id ORDER BY min(ordinal)) AS rank FROM {links}
-  WHERE link IS NOT NULL AND NOT contains(rel, 'nofollow') AND {page_like('k_path')} GROUP BY page_id, url, link) WHERE rank <= {K.MAX_LINKS_PER_PAGE})"""
+  WHERE link IS NOT NULL AND NOT contains(rel, 'nofollow') AND {page_like('k_path')} GROUP BY page_id, url, link))"""
 
 
 __all__ = [n for n in dir() if not n.startswith("_")] + ["with_views"]

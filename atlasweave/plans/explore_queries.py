@@ -120,7 +120,7 @@ def facet_pages_search(spark, sf):
 
 
 @query("sort_assets", _CATALOG + """
-SELECT seq, filename, array_to_string(list_transform(regexp_extract_all(lower(filename), '[0-9]+|[^0-9]+'), lambda x: CASE WHEN regexp_matches(x, '^[0-9]') THEN lpad(ltrim(x, '0') || CASE WHEN ltrim(x, '0') = '' THEN '0' ELSE '' END, 20, '0') ELSE x END), '') AS sort_key FROM c ORDER BY sort_key DESC, seq DESC""")
+SELECT seq, filename, array_to_string(list_transform(regexp_extract_all(lower(filename), '[0-9]+|[^0-9]+'), lambda x: CASE WHEN regexp_matches(x, '^[0-9]') THEN lpad(CAST(length(regexp_replace(x, '^0+([0-9])', '\\1')) AS VARCHAR), 10, '0') || regexp_replace(x, '^0+([0-9])', '\\1') ELSE x END), '') AS sort_key FROM c ORDER BY sort_key DESC, seq DESC""")
 def sort_assets(spark, sf):
     return X.sort_assets(catalog(spark, sf), "filename", descending=True).select("seq", "filename", "sort_key")
 

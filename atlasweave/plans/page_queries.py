@@ -206,7 +206,7 @@ def css_urls_of_pages(spark, sf):
     from ..sources.html import page_markup
 
     css = page_markup(view(spark, sf, "v_html")).select("page_id", F.explode("styles").alias("css"))
-    css = with_css_urls(css, "css", "found", F.lit(K.STYLE_BLOCK_URLS))
+    css = with_css_urls(css, "css", "found")
     return css.select("page_id", F.inline("found")).withColumnRenamed("url", "css_url")
 
 

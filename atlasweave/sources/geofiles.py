@@ -8,8 +8,10 @@ GeoJSON is read natively.
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Iterator
+from html.entities import html5
 from xml.parsers import expat
 
 import pandas as pd
@@ -66,8 +68,27 @@ class _Element:
         return "".join(p if isinstance(p, str) else p.text() for p in self.pieces)
 
 
+_REFERENCE = re.compile(r"<!\[CDATA\[.*?(?:\]\]>|\Z)|<!--.*?(?:-->|\Z)|&(#\d+;|#[xX][0-9a-fA-F]+;|(?:amp|lt|gt|quot|apos);)?(?:([A-Za-z][A-Za-z0-9]*);)?", re.S)
+
+
+def _readable(xml: str) -> str:
+    """References that an XML parser would stop at, written so that it reads on."""
+
+    def one(found: re.Match) -> str:
+        if found[0][0] == "<" or found[1]:
+            return found[0]
+        known = html5.get(f"{found[2]};") if found[2] else None
+        return "".join(f"&#{ord(c)};" for c in known) if known else "&amp;" + found[0][1:]
+
+    return _REFERENCE.sub(one, xml.lstrip("\ufeff"))
+
+
 def _tree(xml: str) -> _Element:
-    """Element tree of an XML text; a malformed text gives the elements before the fault."""
+    """Element tree of an XML text; a text that breaks off gives the elements before the fault.
+
+    The text is decoded already, so its own encoding declaration does not count; named characters
+    that XML does not define are read as in HTML, and an ampersand that begins no reference is one.
+    """
     root = _Element("", {}, None)
     stack = [root]
 
@@ -77,12 +98,12 @@ def _tree(xml: str) -> _Element:
         stack[-1].pieces.append(node)
         stack.append(node)
 
-    parser = expat.ParserCreate()
+    parser = expat.ParserCreate("utf-8")
     parser.StartElementHandler = start
     parser.EndElementHandler = lambda tag: stack.pop()
     parser.CharacterDataHandler = lambda data: stack[-1].pieces.append(data)
     try:
-        parser.Parse(xml.encode("utf-8"), True)
+        parser.Parse(_readable(xml).encode("utf-8"), True)
     except expat.ExpatError:
         pass
     return root
@@ -254,15 +275,9 @@ def _shape_xml(raw: DataFrame) -> DataFrame:
     )
 
 
-def _capped(features: DataFrame) -> DataFrame:
-    """At most ``MAX_FEATURES_PER_FILE`` features of one file, in file order (a file is bounded in size)."""
-    turn = Window.partitionBy("asset_id").orderBy("idx")
-    return features.withColumn("_n", F.row_number().over(turn)).filter(F.col("_n") <= K.MAX_FEATURES_PER_FILE).drop("_n")
-
-
 def xml_features(raw: DataFrame) -> DataFrame:
     """Features of :func:`xml_rows` output."""
-    return _capped(_shape_xml(raw).filter("geometry_type is not null")).select(*FEATURE_COLUMNS)
+    return _shape_xml(raw).filter("geometry_type is not null").select(*FEATURE_COLUMNS)
 
 
 def kml_overlays(raw: DataFrame) -> DataFrame:
@@ -372,7 +387,7 @@ def geojson_features(bodies: DataFrame) -> DataFrame:
         F.when(F.col("transformed"), "source-transformed").otherwise("source").alias("confidence"),
         F.array().cast("array<string>").alias("folder_path"),
     )
-    return _capped(out).select(*FEATURE_COLUMNS)
+    return out.select(*FEATURE_COLUMNS)
 
 
 # -------------------------------------------------------------------------------- documents
