@@ -1,11 +1,14 @@
 """Licence notices in text: passages against templates by the Dice coefficient of their word bigrams, on the JVM without a shuffle.
 
 A passage of a distinct bigrams can reach a coefficient of d with a template of t only if
-t * d / (2 - d) <= a <= t * (2 - d) / d; the other templates are never compared with it.
+t * d / (2 - d) <= a <= t * (2 - d) / d; the other templates are never compared with it. The same bounds say how many
+bigrams of a template a match can lack: of one more than that, it must hold at least one, and so a word of it.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +37,15 @@ def bigrams(text: Column) -> Column:
     return F.array_distinct(F.transform(F.slice(F.arrays_zip(words.alias("a"), F.slice(words, 2, F.size(words)).alias("b")), 1, F.size(words) - 1), lambda x: F.concat_ws(" ", x["a"], x["b"])))
 
 
+def anchors(grams: list[str], least: float) -> set[str]:
+    """Words of which every passage that matches the template holds at least one: the longest of one bigram more than it can lack."""
+    t = len(grams)
+    fewest = math.ceil(t * least / (2 - least) - 1e-9)
+    lacking = t - math.ceil(least / 2 * (fewest + t) - 1e-9)
+    words = sorted((max(g.split(" "), key=len) for g in grams), key=lambda w: (-len(w), w))
+    return set(words[: lacking + 1])
+
+
 def license_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST, templates: dict[str, str] | None = None) -> DataFrame:
     """(id, kind, nth, license, dice): passages of the whole text whose coefficient with a template is ``least`` or more.
 
@@ -45,12 +57,14 @@ def license_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     known = known.select("license", bigrams(F.col("notice")).alias("grams")).collect()  # the templates themselves
     sizes = [len(t.grams) for t in known]
     low, high = (min(sizes) * least / (2 - least), max(sizes) * (2 - least) / least) if sizes else (0.0, -1.0)
-    source = plain(docs, id=id_col, text=text_col).withColumn("text", F.coalesce("text", F.lit("")))
+    # a text without any of these words has no match in it, nor has a passage
+    needed = "|".join(sorted({w for t in known for w in anchors(t.grams, least)})) or "$^"
+    source = plain(docs, id=id_col, text=text_col).withColumn("text", F.coalesce("text", F.lit(""))).where(F.lower("text").rlike(needed))
     with_place = lambda kind, parts: F.transform(parts, lambda p, i: F.struct(F.lit(kind).alias("kind"), (i + 1).cast("long").alias("nth"), p.alias("passage")))
     lines = with_place("line", F.split("text", "\n"))
     paragraphs = F.filter(with_place("paragraph", F.split("text", "\n[ \\t\\r]*\n")), lambda p: F.contains(p["passage"], F.lit("\n")))
     passages = source.select("id", F.explode(F.concat(lines, paragraphs)).alias("p")).select("id", "p.*")
-    passages = passages.where(F.char_length("passage") > 2 * low)  # each bigram takes a word and a blank at least
+    passages = passages.where(F.lower("passage").rlike(needed))
     passages = passages.select("id", "kind", "nth", bigrams(F.col("passage")).alias("grams")).where(F.size("grams").between(low, high))
 
     def dice(size: int, grams: Column) -> Column:
