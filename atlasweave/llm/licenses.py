@@ -58,7 +58,8 @@ def license_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     sizes = [len(t.grams) for t in known]
     low, high = (min(sizes) * least / (2 - least), max(sizes) * (2 - least) / least) if sizes else (0.0, -1.0)
     # a text without any of these words has no match in it, nor has a passage
-    needed = "|".join(sorted({w for t in known for w in anchors(t.grams, least)})) or "$^"
+    words = "|".join(sorted({w for t in known for w in anchors(t.grams, least)}))
+    needed = f"(?<![a-z0-9])(?:{words})(?![a-z0-9])" if words else "$^"
     source = plain(docs, id=id_col, text=text_col).withColumn("text", F.coalesce("text", F.lit(""))).where(F.lower("text").rlike(needed))
     with_place = lambda kind, parts: F.transform(parts, lambda p, i: F.struct(F.lit(kind).alias("kind"), (i + 1).cast("long").alias("nth"), p.alias("passage")))
     lines = with_place("line", F.split("text", "\n"))
