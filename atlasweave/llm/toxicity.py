@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -228,7 +229,8 @@ def train_from_tables(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id"
     return train(found["text"].tolist(), found["label"].to_numpy() > 0)
 
 
-_MEMORY: dict[int, dict[str, float]] = {}
+#: Margins of known words, for the model a worker scored with last.
+_MEMORY: dict[str, dict[str, float]] = {}
 
 
 def score_texts(docs: DataFrame, model: ToxicityModel, text_col: str = "text", out: str = "toxicity") -> DataFrame:
@@ -238,12 +240,15 @@ def score_texts(docs: DataFrame, model: ToxicityModel, text_col: str = "text", o
     """
     docs = docs.drop(out)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # about 1 MB
-    key = id(model)
+    key = uuid4().hex
     names = [*docs.columns, out]
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, memory = shared.value, _MEMORY.setdefault(key, {})
+        model = shared.value
+        if key not in _MEMORY:
+            _MEMORY.clear()
+        memory = _MEMORY.setdefault(key, {})
         for batch in batches:
             for first in range(0, batch.num_rows, 500):
                 part = batch.slice(first, 500)
