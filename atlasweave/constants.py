@@ -110,9 +110,6 @@ CSS_IMAGE_PROPERTY_REGEX = (
     r"(?i)(background(?:-image)?|border-image(?:-source)?|list-style(?:-image)?|mask(?:-image)?"
     r"|content|cursor|src)\s*:"
 )
-MAX_JSONLD_CHARS = 400_000
-MAX_JSONLD_DEPTH = 8
-MAX_JSONLD_RESULTS = 200
 DISCOVERY_SOURCES = [
     "img", "srcset", "picture-source", "lazy-attribute", "og-image", "twitter-image", "meta-other",
     "link-icon", "css-inline", "css-stylesheet", "schema-org", "video-poster", "svg-image",
