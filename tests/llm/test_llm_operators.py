@@ -241,3 +241,14 @@ def test_secrets(spark, nothing):
     clean = {r.doc_id: r.text for r in secrets.redact(frame).collect()}
     assert clean[0] == 'a [secret]" b [secret] c' and clean[1] is None and clean[4] == "😀 [secret] secret: short"
     assert secrets.secret_spans(nothing).count() == 0
+
+
+def test_secrets_by_the_class_of_each_window(spark):
+    key, base32, letters = "7F3A09C4E1B85D2697AC0E4F1B3D8265", "MZXW6YTBOI2GK3TPQ5SV", "qLxZvRtKpWmBnYcHsGdJfTqX"
+    cases = [f"a key={key} b", f"sig_{key}", f"id={key}", base32, f"sample_key={key}", f"12345678={key}", letters, f"k=9fQ2xLm8Zr4Tn6Vb1Kc3Wd5==", f"sample_{key}_{base32}"]
+    clean = ["id=123e4567-e89b-12d3-a456-426614174000", "AbstractSingletonProxyFactoryBean", "Rechtsschutzversicherungsgesellschaften", "part=0021-4711-0099-2020-1999", "sample_key=some-longer-words-2024"]
+    frame = spark.createDataFrame(list(enumerate(cases + clean)), "doc_id long, text string")
+    got = {r.doc_id: [(s.begin, s.end, s.kind) for s in r.spans] for r in secrets.secret_spans(frame).collect()}
+    starts = [6, 0, 3, 0, 11, 9, 0, 2, 6]
+    ends = [38, 36, 35, 20, 43, 41, 24, 27, 60]
+    assert got == {n: [(starts[n], ends[n], "entropy")] if n < len(cases) else [] for n in range(len(cases + clean))}
