@@ -301,11 +301,34 @@ def train(pages: list[str], skeletons: int = SKELETONS) -> PageModel:
     return PageModel(odds, trees.fit(np.concatenate([features(nodes, texts, odds) for nodes, texts, _ in known]), np.concatenate([x[2] for x in known]).astype(float)))
 
 
+#: Hash values that pages are drawn by.
+_HASHES = 1 << 40
+
+
+def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows whose html has exactly one marked part."""
+    for batch in batches:
+        html = batch.column(batch.schema.get_field_index("html")).to_pylist()
+        yield batch.filter(pa.array([_truth(page) is not None for page in html], pa.bool_()))
+
+
 def train_from_table(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", rows: int = TRAINING_PAGES) -> PageModel:
-    """A model of about ``rows`` pages drawn by a hash of the id; null ids and null pages teach nothing."""
+    """A model of about ``rows`` pages that mark exactly one article, drawn by a hash of the id; null ids and null pages teach nothing.
+
+    Only pages with a mark in their source are drawn, and only drawn ones are parsed; the draw widens until it has ``rows`` or all.
+    """
     known = pages.select(pages[id_col].alias("id"), pages[html_col].alias("html")).where("id is not null and html is not null")
-    rate = int(1_000_000 * min(1.0, rows / max(1, pages.count())))
-    drawn = known.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < rate).toPandas().sort_values(["id", "html"])
+    known = known.where(F.col("html").rlike("(?i)<article|\\sdata-main"))
+    draw = F.pmod(F.xxhash64("id"), F.lit(_HASHES))
+    limit = -(-_HASHES * rows // max(rows, known.count()))
+    while True:
+        some = known.where(draw < limit).withColumn("draw", draw)
+        drawn = some.mapInArrow(_marked, some.schema).toPandas()
+        if len(drawn) >= rows * 3 // 4 or limit >= _HASHES:
+            break
+        limit = min(_HASHES, limit * max(2, min(16, rows // max(1, len(drawn)) + 1)))
+    # a widened draw can hold more than was asked for
+    drawn = drawn.sort_values(["draw", "id", "html"]).head(rows * 5 // 4).sort_values(["id", "html"])
     return train(drawn["html"].tolist())
 
 

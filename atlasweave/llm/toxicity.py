@@ -214,6 +214,11 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3) -> np.ndarray:
     return w
 
 
+def draw_hashes(count: int) -> int:
+    """Hash values that ``count`` labels are drawn by: more of them for more labels, so that the share to draw never rounds to none."""
+    return 1_000_000 * max(1, count // 100_000_000)
+
+
 def train_from_tables(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = TRAINING_ROWS) -> ToxicityModel:
     """A model of at most about ``rows`` labelled rows, drawn by a hash of the id; rows with crc32(id) mod 3 = 1 are held out.
 
@@ -222,7 +227,8 @@ def train_from_tables(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id"
     known = plain(labels, id=id_col, label=label_col).where("id is not null and label is not null").groupBy("id").agg(F.max("label").alias("label"))
     known = known.where(F.pmod(F.crc32(F.col("id").cast("string")), F.lit(3)) != 1)
     count = known.count()
-    drawn = known.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, rows / max(1, count))))
+    hashes = draw_hashes(count)
+    drawn = known.where(F.pmod(F.xxhash64("id"), F.lit(hashes)) < int(hashes * min(1.0, rows / max(1, count))))
     source = plain(docs, id=id_col, text=text_col)
     found = source.join(F.broadcast(drawn), "id").select("id", F.coalesce("text", F.lit("")).alias("text"), "label")
     found = found.toPandas().sort_values(["id", "text"])  # about ``rows`` rows

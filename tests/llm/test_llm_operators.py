@@ -252,3 +252,16 @@ def test_secrets_by_the_class_of_each_window(spark):
     starts = [6, 0, 3, 0, 11, 9, 0, 2, 6]
     ends = [38, 36, 35, 20, 43, 41, 24, 27, 60]
     assert got == {n: [(starts[n], ends[n], "entropy")] if n < len(cases) else [] for n in range(len(cases + clean))}
+
+
+def test_main_text_trains_on_rare_marked_pages(spark):
+    body = "".join(f"<p>Sentence {n} of the article goes on, with many words, and ends here. It is long.</p>" for n in range(4))
+    marked = lambda n: f"<html><body><nav><a href=/>Home {n}</a></nav><article><h1>Title {n}</h1>{body}</article><footer>Legal {n}</footer></body></html>"
+    other = "<html><body><!-- <article> --><p>Nothing is marked here.</p></body></html>"
+    frame = spark.createDataFrame([(n, marked(n) if n % 1000 == 500 else other) for n in range(3000)], "page_id long, html string")
+    model = main_text.train_from_table(frame, rows=20)
+    assert model.texts([marked(7)])[0].startswith("Title 7\nSentence 0") and model.texts(["<p>x"]) is not None
+
+
+def test_labels_are_drawn_at_any_count():
+    assert all(int(h * 3000 / n) * n >= 0.9 * 3000 * h for n in (10**6, 10**9, 10**10, 10**12) for h in [toxicity.draw_hashes(n)])
