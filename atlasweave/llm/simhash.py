@@ -44,15 +44,16 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """(id, fp): the fingerprint of each whole text as a signed long; a null text counts as empty."""
-    source = plain(docs, id=id_col, text=text_col).select("id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
+    """(id, fp, text_hash): the fingerprint of each whole text as a signed long, and a hash of the text as it is; a null text counts as empty."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    source = plain(docs, id=id_col, text=text_col).select("id", text.cast("binary").alias("text"), F.xxhash64(text).alias("text_hash"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = [fingerprint(t.as_py(), shingle, seed) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), batch.column(2)], ["id", "fp", "text_hash"])
 
-    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, fp long")
+    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, fp long, text_hash long")
 
 
 def _deletions(region: int, fixed: int) -> list[tuple[int, int]]:
@@ -188,29 +189,36 @@ def fingerprint_links(fps: DataFrame, distance: int = DISTANCE, bucket: int = BU
         level += 1
 
 
-def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, shingle: int = SHINGLE, seed: int = SEED, bucket: int = BUCKET) -> DataFrame:
-    """(id, fp, component_id): every row with its fingerprint and the smallest id that links can reach.
-
-    Null and empty texts have fingerprint 0 and link like any other. Rows with a null id take part and
-    get the smallest id of their class, or null if it has none; repeated rows share a class.
-    """
+def _classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, shingle: int = SHINGLE, seed: int = SEED, bucket: int = BUCKET) -> DataFrame:
+    """``simhash_groups`` with the hash of each text and the root of its class, which tells classes apart that share their smallest id."""
     prints = saved(fingerprints(docs, id_col, text_col, shingle, seed))
     firsts = saved(prints.groupBy("fp").agg(F.min("id").alias("first")))
     classes = components(fingerprint_links(firsts.select("fp"), distance, bucket))
     rooted = firsts.join(classes.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     rooted = saved(rooted)
     smallest = saved(rooted.groupBy("root").agg(F.min("first").alias("component_id")))
-    named = saved(rooted.join(smallest, "root").select("fp", "component_id"))
-    return prints.join(named, "fp").select("id", "fp", "component_id")
+    named = saved(rooted.join(smallest, "root").select("fp", "root", "component_id"))
+    return prints.join(named, "fp").select("id", "fp", "text_hash", "root", "component_id")
+
+
+def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, shingle: int = SHINGLE, seed: int = SEED, bucket: int = BUCKET) -> DataFrame:
+    """(id, fp, component_id): every row with its fingerprint and the smallest id that links can reach.
+
+    Null and empty texts have fingerprint 0 and link like any other. Rows with a null id take part and
+    get the smallest id of their class, or null if it has none; repeated rows share a class.
+    """
+    return _classes(docs, id_col, text_col, distance, shingle, seed, bucket).select("id", "fp", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with all its columns, one document of each class kept: the one with the smallest id (once, if the row repeats).
 
-    Rows with a null id cannot be named as the one that stays; they are kept.
+    An id can stand for texts of several classes: the text tells which row stays, and within a class the smallest hash of a
+    text breaks the tie. Rows with a null id cannot be named as the one that stays; they are kept.
     """
-    groups = simhash_groups(docs, id_col, text_col, **options)
-    stay = saved(groups.where("id = component_id").select(F.col("id").alias("_stay")).distinct())
-    kept = docs.where(docs[id_col].isNotNull()).join(stay, docs[id_col] == F.col("_stay"), "left_semi").dropDuplicates([id_col])
+    groups = _classes(docs, id_col, text_col, **options)
+    stay = saved(groups.where("id = component_id").groupBy(F.col("id").alias("_stay"), "root").agg(F.min("text_hash").alias("_hash")).select("_stay", "_hash"))
+    named = docs.where(docs[id_col].isNotNull()).withColumn("_text_hash", F.xxhash64(F.coalesce(docs[text_col], F.lit(""))))
+    kept = named.join(stay, (F.col(id_col) == F.col("_stay")) & (F.col("_text_hash") == F.col("_hash")), "left_semi")
+    kept = kept.dropDuplicates([id_col, "_text_hash"]).drop("_text_hash")
     return kept.unionByName(docs.where(docs[id_col].isNull()))
-

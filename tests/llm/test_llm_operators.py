@@ -265,3 +265,9 @@ def test_main_text_trains_on_rare_marked_pages(spark):
 
 def test_labels_are_drawn_at_any_count():
     assert all(int(h * 3000 / n) * n >= 0.9 * 3000 * h for n in (10**6, 10**9, 10**10, 10**12) for h in [toxicity.draw_hashes(n)])
+
+
+def test_an_id_with_texts_of_two_classes_keeps_both(spark):
+    one, other = "red green blue " * 20, "one two three four five six seven eight nine " * 9
+    frame = spark.createDataFrame([(1, one), (1, other), (1, one), (2, one), (3, other), (None, one)], "doc_id long, text string")
+    assert sorted(rows(simhash.drop_near_duplicates(frame)), key=str) == sorted([(1, one), (1, other), (None, one)], key=str)
