@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from atlasweave.llm import embeddings, licenses, main_text, packing, pieces, secrets, sharding, simhash, sketches, toxicity
+from atlasweave.llm import conversations, embeddings, licenses, main_text, packing, pieces, prefixes, secrets, sharding, simhash, sketches, toxicity
 from atlasweave.llm.frames import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +89,18 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", *(count(k).alias(f"n_{k}") for k in ("assign", "access", "hex")),
         F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"),
     )
+
+
+@query
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return prefixes.round_trip(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN).withColumnRenamed("id", "doc_id")
+
+
+@query
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    repair = conversations.repair_conversations(conversations.damaged(rows), ids=rows.select("conv_id"))
+    digests = conversations.row_digests(repair.rows)
+    found = repair.conversations.join(digests, "key", "left").withColumn("repaired_sha256", F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)))
+    return found.drop("key")
