@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from atlasweave.llm import conversations, embeddings, licenses, main_text, packing, pieces, prefixes, secrets, sharding, simhash, sketches, toxicity
+from atlasweave.llm import conversations, crossing, embeddings, licenses, main_text, packing, pieces, prefixes, secrets, sharding, simhash, sketches, toxicity
 from atlasweave.llm.frames import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,3 +104,10 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     digests = conversations.row_digests(repair.rows)
     found = repair.conversations.join(digests, "key", "left").withColumn("repaired_sha256", F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)))
     return found.drop("key")
+
+
+@query
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    aligned = crossing.align_tokenizers(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return aligned.withColumnRenamed("id", "doc_id")
