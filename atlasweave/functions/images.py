@@ -59,26 +59,107 @@ def _uint(body: Column, start: int, length: int, little: bool = False) -> Column
     return F.conv(digits, 16, 10).cast("int")
 
 
+# JPEG start-of-frame markers, markers without a length, and CSS lengths in pixels.
+_JPEG_FRAMES = ["C0", "C1", "C2", "C3", "C5", "C6", "C7", "C9", "CA", "CB", "CD", "CE", "CF"]
+_JPEG_BARE = ["01", "D0", "D1", "D2", "D3", "D4", "D5", "D6", "D7", "D8"]
+_PIXELS = {"in": 96.0, "cm": 96 / 2.54, "mm": 96 / 25.4, "pt": 96 / 72, "pc": 16.0, "em": 16.0, "ex": 8.0, "px": 1.0}
+
+
+def jpeg_size(body: Column) -> Column:
+    """``struct<width, height>`` from the first frame header of a JPEG body; null where the walk meets none.
+
+    Segments tell their lengths, so sizes inside a payload (a thumbnail, say) are stepped over. Each step of the fold reads
+    one marker or skips one fill byte, both of which begin with FF; so a body is walked through in as many steps as it
+    has such bytes, however long its segments are.
+    """
+    bytes_ff = F.length(F.regexp_replace(F.decode(body, "ISO-8859-1"), "[^\u00ff]", ""))
+
+    def step(acc: Column, _: Column) -> Column:
+        at = acc["at"]
+        marker = F.hex(F.substring(body, at, 2))
+        kind = F.substring(marker, 3, 2)
+        whole = F.length(body) >= at + 8
+        found = kind.isin(_JPEG_FRAMES) & whole
+        following = (
+            F.when(~marker.startswith("FF") | kind.isin("DA", "D9") | kind.isin(_JPEG_FRAMES), 0)
+            .when(kind == "FF", at + 1)
+            .when(kind.isin(_JPEG_BARE), at + 2)
+            .otherwise(F.coalesce(at + 2 + F.greatest(_uint(body, at + 2, 2), F.lit(2)), F.lit(0)))
+        )
+        size = F.when(found, F.struct(_uint(body, at + 7, 2).alias("width"), _uint(body, at + 5, 2).alias("height")))
+        return F.when(at == 0, acc).otherwise(F.struct(following.alias("at"), size.alias("size")))
+
+    start = F.struct(F.lit(3).alias("at"), F.lit(None).cast("struct<width:int,height:int>").alias("size"))
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(bytes_ff, F.lit(1))), start, step)["size"]
+
+
+def _svg_tag(text: Column) -> Column:
+    """Text behind ``<svg`` of the root element, past declarations, comments and a document type."""
+    bare = F.regexp_replace(text, r"(?s)<!--.*?-->|<\?.*?\?>", "")
+    bare = F.regexp_replace(bare, r"(?s)^[^<]*<!(?i:doctype)[^<>\[]*(\[.*?\]\s*)?>", "")
+    return F.regexp_extract(bare, r"(?s)^[^<]*<(?:\w+:)?svg(?=[\s/>])(.*)", 1)
+
+
+def svg_size(body: Column) -> Column:
+    """``struct<width, height>`` of an SVG root: its lengths in pixels, missing ones by the proportions of ``viewBox``.
+
+    Attributes are matched one behind the other, so a sign inside a quoted value ends nothing; a root tag that
+    is cut off has no size. Percentages count as missing.
+    """
+    tag = _svg_tag(F.decode(body, "ISO-8859-1"))
+    listed = F.regexp_extract_all(tag, F.lit(r"\G(\s*[^\s=>\"'/]+\s*=\s*(?:\"[^\"]*\"|'[^']*'))"), F.lit(1))
+    closed = F.substring(tag, F.aggregate(listed, F.lit(1), lambda n, a: n + F.length(a)), F.lit(1 << 20)).rlike(r"^\s*/?>")
+    value = lambda name: F.get(F.filter(listed, lambda a: a.rlike(rf"^\s*{name}\s*=")), F.lit(0))
+    quoted = lambda attribute: F.regexp_extract(attribute, r"(?s)=\s*[\"'](.*)[\"']$", 1)
+
+    def pixels(length: Column) -> Column:
+        number = F.regexp_extract(length, r"^\s*([0-9]*\.?[0-9]+(?:[eE][+-]?\d+)?)\s*(?:in|cm|mm|pt|pc|em|ex|px)?\s*$", 1)
+        unit = F.regexp_extract(length, r"(in|cm|mm|pt|pc|em|ex|px)\s*$", 1)
+        scale = F.lit(1.0)
+        for name, size in _PIXELS.items():
+            scale = F.when(unit == name, size).otherwise(scale)
+        return F.when(number != "", F.round(number.cast("double") * scale)).cast("int")
+
+    box = F.split(F.trim(F.regexp_replace(quoted(value("viewBox")), r"[\s,]+", " ")), " ")
+    box_width, box_height = (F.try_element_at(box, F.lit(n)).try_cast("double") for n in (3, 4))
+    ratio = F.when((box_width > 0) & (box_height > 0), box_width / box_height)
+    width, height = pixels(quoted(value("width"))), pixels(quoted(value("height")))
+    size = F.struct(
+        F.coalesce(width, F.floor(height * ratio), F.round(box_width)).cast("int").alias("width"),
+        F.coalesce(height, F.floor(width / ratio), F.round(box_height)).cast("int").alias("height"),
+    )
+    return F.when(closed, size)
+
+
+def _webp_size(body: Column) -> Column:
+    """``struct<width, height>`` by the three kinds of first chunk; the sizes of the later two are stored less one."""
+    chunk = F.decode(F.substring(body, 13, 4), "ISO-8859-1")
+    packed = F.conv(F.concat(*[F.hex(F.substring(body, n, 1)) for n in (25, 24, 23, 22)]), 16, 10).cast("bigint")
+    low = lambda n: _uint(body, n, 2, True).bitwiseAND(0x3FFF)
+    size = lambda w, h: F.struct(w.cast("int").alias("width"), h.cast("int").alias("height"))
+    return (
+        F.when(chunk == "VP8 ", size(low(27), low(29)))
+        .when(chunk == "VP8L", size(packed.bitwiseAND(0x3FFF) + 1, F.shiftright(packed, 14).bitwiseAND(0x3FFF) + 1))
+        .when(chunk == "VP8X", size(_uint(body, 25, 3, True) + 1, _uint(body, 28, 3, True) + 1))
+    )
+
+
 def header_size(body: Column) -> Column:
-    """``struct<type, width, height>`` from PNG, GIF, BMP or JPEG-free header bytes; null if unreadable."""
-    head = F.hex(F.substring(body, 1, 8))
+    """``struct<type, width, height>`` from the bytes of a PNG, GIF, BMP, JPEG, WebP, ICO or SVG body; null if unreadable."""
+    head = F.hex(F.substring(body, 1, 12))
+    fixed = lambda kind, w, h, n, little: F.struct(F.lit(kind).alias("type"), _uint(body, w, n, little).alias("width"), _uint(body, h, n, little).alias("height"))
+    read = lambda kind, size: F.struct(F.lit(kind).alias("type"), size["width"].alias("width"), size["height"].alias("height"))
+    # the sides of an icon are single bytes, 0 for 256
+    icon = F.struct(F.lit("ico").alias("type"), *(F.when(_uint(body, n, 1) == 0, 256).otherwise(_uint(body, n, 1)).alias(side) for n, side in ((7, "width"), (8, "height"))))
+    text = F.decode(F.substring(body, 1, 512), "ISO-8859-1")
     found = (
-        F.when(
-            head == "89504E470D0A1A0A",
-            F.struct(F.lit("png").alias("type"), _uint(body, 17, 4).alias("width"), _uint(body, 21, 4).alias("height")),
-        )
-        .when(
-            head.startswith("474946383761") | head.startswith("474946383961"),
-            F.struct(
-                F.lit("gif").alias("type"), _uint(body, 7, 2, True).alias("width"), _uint(body, 9, 2, True).alias("height")
-            ),
-        )
-        .when(
-            head.startswith("424D"),
-            F.struct(
-                F.lit("bmp").alias("type"), _uint(body, 19, 4, True).alias("width"), _uint(body, 23, 4, True).alias("height")
-            ),
-        )
+        F.when(head.startswith("89504E470D0A1A0A"), fixed("png", 17, 21, 4, False))
+        .when(head.startswith("474946383761") | head.startswith("474946383961"), fixed("gif", 7, 9, 2, True))
+        .when(head.startswith("424D"), fixed("bmp", 19, 23, 4, True))
+        .when(head.startswith("FFD8FF"), read("jpg", jpeg_size(body)))
+        .when(head.startswith("52494646") & head.endswith("57454250"), read("webp", _webp_size(body)))
+        .when(head.startswith("00000100"), icon)
+        .when(text.rlike(r"^(\u00ef\u00bb\u00bf)?\s*<"), read("svg", svg_size(body)))
     )
     usable = (F.length(body) >= 16) & (found["width"] > 0) & (found["height"] > 0)
     return F.when(usable, found)

@@ -158,6 +158,20 @@ def image_dimensions(spark, sf):
     return df.select("seq", "s.type", "s.width", "s.height")
 
 
+_HEX = "CAST('0x' || {} AS INTEGER)".format
+_JPEG = "regexp_extract(hex(body), '^FFD8.*FFC[02]001108(....)(....)', {})".format  # the last one: earlier ones stand in payloads
+_BYTE_AT = lambda n: _HEX(f"substr(hex(body), {2 * n - 1}, 2)")
+
+
+@query("image_headers", with_views("v_images") + f""", sized AS (SELECT seq, kind, CASE WHEN kind IN (0, 1) THEN 'jpg' WHEN kind IN (3, 4) THEN 'svg' WHEN kind = 6 THEN 'webp' WHEN kind = 7 THEN 'ico' END AS type,
+ CASE WHEN kind IN (0, 1) THEN {_HEX(_JPEG(2))} WHEN kind = 3 THEN w WHEN kind = 4 THEN CAST(floor(2 * h * (w / h)) AS INTEGER) WHEN kind = 6 THEN {_BYTE_AT(25)} + 256 * {_BYTE_AT(26)} + 1 WHEN kind = 7 THEN 16 END AS width,
+ CASE WHEN kind IN (0, 1) THEN {_HEX(_JPEG(1))} WHEN kind = 3 THEN CAST(round(h * (96 / 72)) AS INTEGER) WHEN kind = 4 THEN 2 * h WHEN kind = 6 THEN {_BYTE_AT(28)} + 1 WHEN kind = 7 THEN {_BYTE_AT(8)} END AS height FROM v_images)
+SELECT seq, type, width, height FROM sized""")
+def image_headers(spark, sf):
+    df = stage(view(spark, sf, "v_images"), s=I.header_size(F.col("body")))
+    return df.select("seq", "s.type", "s.width", "s.height")
+
+
 @query("content_hashes", with_views("v_bodies") + "SELECT seq, CASE WHEN NOT truncated THEN sha256(body) END AS content_hash FROM v_bodies")
 def content_hashes(spark, sf):
     return view(spark, sf, "v_bodies").select("seq", I.content_hash(F.col("body"), F.col("truncated")).alias("content_hash"))

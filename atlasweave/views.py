@@ -65,6 +65,21 @@ SELECT p_partkey AS seq, CASE p_partkey % 3 WHEN 0 THEN 'png' WHEN 1 THEN 'kmz'
          WHEN 0 THEN '89504E470D0A1A0A0000000D49484452' || lpad(hex(p_size * 40), 8, '0') || lpad(hex(p_partkey % 900 + 1), 8, '0') || '0806000000'
          WHEN 1 THEN CASE WHEN p_size % 4 = 0 THEN '3C68746D6C3E' ELSE '504B0304140000000000' END
          ELSE CASE WHEN p_size % 4 = 0 THEN '6E6F' ELSE '7B2274797065223A2246227D' END END) AS body
+FROM part""",
+    # image bodies by kind: JPEG with plain and with awkward segments, SVG roots, WebP, ICO, and cut ones
+    "v_images": f"""
+SELECT p_partkey AS seq, CAST(p_partkey % 9 AS INT) AS kind, CAST(p_size * 37 AS INT) AS w, CAST(p_partkey % 3000 + 1 AS INT) AS h,
+  CASE WHEN p_partkey % 9 IN (3, 4, 5) THEN CAST(CASE p_partkey % 9
+    WHEN 3 THEN '<?xml version="1.0"?><!DOCTYPE svg PUBLIC "a" "b"><svg xmlns="x" data-t="a > b" width="' || {_s('p_size * 37')} || 'px" height=' || chr(39) || {_s('p_partkey % 3000 + 1')} || 'pt' || chr(39) || '/>'
+    WHEN 4 THEN '<!-- <svg width="1" height="1"> --> <svg:svg viewBox="0 0 ' || {_s('p_size * 37')} || ', ' || {_s('p_partkey % 3000 + 1')} || '" width="50%" height="' || {_s('2 * (p_partkey % 3000 + 1)')} || '"><rect width="3"/></svg:svg>'
+    ELSE '<svg width="' || {_s('p_size')} || '" height="10" title="' END AS BINARY)
+  ELSE unhex(CASE p_partkey % 9
+    WHEN 0 THEN 'FFD8FFE000104A46494600010100000100010000FFDB0004AABBFFC0001108' || lpad(hex(p_partkey % 3000 + 1), 4, '0') || lpad(hex(p_size * 37), 4, '0') || '03012200'
+    WHEN 1 THEN 'FFD8FFE1001AFFC000110800010001FFFFDAFFD9FFFF000000000000FFFFFFFE0003FFFFC2001108' || lpad(hex(p_partkey % 3000 + 1), 4, '0') || lpad(hex(p_size * 37), 4, '0') || '0301'
+    WHEN 2 THEN 'FFD8FFE000104A46494600010100000100010000FFDB0004AABBFFC0001108' || lpad(hex(p_size), 4, '0')
+    WHEN 6 THEN '5249464600000000574542505650385810000000' || '00000000' || hex(p_partkey % 200 + 16) || '0100' || hex(p_size + 16) || '0000'
+    WHEN 7 THEN '00000100010010' || hex(p_size + 16) || '00000000000000000000'
+    ELSE 'FFD8FFE00010' || '4A46494600010100000100010000' || 'FFDA0008FFC0001108' || '00100010' || 'FFC0001108' || '00100010' END) END AS body
 FROM part""",
     # pages covering the flat discovery paths
     "v_html": f"""
