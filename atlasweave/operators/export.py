@@ -1,12 +1,12 @@
-"""Exports of assets, and archive naming and budgets."""
+"""Exports of assets."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions.text import csv_cell, safe_entry_name
+from ..functions.text import csv_cell
 
 
 class ExportTooLarge(ValueError):
@@ -39,18 +39,18 @@ def write_csv(assets: DataFrame, path: str) -> None:
     ).csv(path)
 
 
-def json_records(assets: DataFrame, references: DataFrame | None = None, keep: int = 60) -> DataFrame:
-    """Each asset as one JSON object, with at most ``keep`` of its references nested in it.
+def json_records(assets: DataFrame, references: DataFrame | None = None, keep: int | None = None) -> DataFrame:
+    """Each asset as one JSON object, with its references nested in it, at most ``keep`` of them if that is given.
 
-    The nested list is cut before it is collected, so a logo referenced by every page does
-    not build an unbounded array; ``reference_count`` still tells the exact number.
+    A nested list is one value: with ``keep`` it is cut before it is collected, so that a logo of every page stays small;
+    ``reference_count`` tells the exact number in any case.
     """
     if references is not None:
-        order = Window.partitionBy("asset_id").orderBy("source_page", "source_type", "descriptor", "element_path")
-        kept = references.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= keep)
-        nested = kept.groupBy("asset_id").agg(
-            F.array_sort(F.collect_list(F.struct("_n", "source_page", "source_type", "descriptor", "element_path"))).alias("references")
-        )
+        fields = ["source_page", "source_type", "descriptor", "element_path"]
+        if keep is not None:
+            order = Window.partitionBy("asset_id").orderBy(*fields)
+            references = references.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= keep)
+        nested = references.groupBy("asset_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("references"))
         assets = assets.join(nested, "asset_id", "left")
     fields = [c for c in assets.columns]
     return assets.select("asset_id", F.to_json(F.struct(*fields)).alias("value"))
@@ -97,118 +97,3 @@ def export_caps(rows: DataFrame, group: list[str]) -> DataFrame:
             "entries_ok": F.col("selected") * 2 + 1 <= K.MAX_ARCHIVE_ENTRIES,
         }
     )
-
-
-# ---------------------------------------------------------------------------------- archives
-
-
-def _number_names(names: list[str | None]) -> list[str | None]:
-    """Names of one archive in order, repeats numbered ``name (2).ext`` with the next free number."""
-    taken: set[str] = set()
-    following: dict[str, int] = {}  # numbers below are taken for good
-    out = []
-    for name in names:
-        if name is None:
-            out.append(None)
-            continue
-        dot = name.rfind(".")
-        stem, ext = (name[:dot], name[dot:]) if dot > 0 else (name, "")
-        entry, n = name, following.get(name, 1)
-        while entry in taken:
-            n += 1
-            entry = f"{stem} ({n}){ext}"
-        following[name] = n
-        taken.add(entry)
-        out.append(entry)
-    return out
-
-
-def _numbered(entries: DataFrame, archive: list[str], name: str, order: str) -> DataFrame:
-    df = entries.withColumn("entry", F.lit(None).cast("string"))
-
-    def number(group):
-        group = group.sort_values(order, kind="stable")
-        return group.assign(entry=_number_names(list(group[name])))
-
-    return df.groupBy(*archive).applyInPandas(number, df.schema)
-
-
-def unique_entry_names(entries: DataFrame, archive: list[str], name: str = "name", order: str = "seq") -> DataFrame:
-    """Add ``entry``: the name made unique within its archive, in order.
-
-    Whether a number is free depends on every earlier name, so archives with a repeated name
-    are numbered as a whole, one archive per group. An archive holds at most
-    ``MAX_ARCHIVE_ENTRIES`` entries; a larger one is refused, and its entries stay null.
-    """
-    sizes = entries.groupBy(*archive, name).agg(F.count(F.lit(1)).alias("_n")).groupBy(*archive).agg(
-        F.sum("_n").alias("_entries"), F.max("_n").alias("_repeats")
-    )
-    df = entries.join(sizes, archive)
-    fits = F.col("_entries") <= K.MAX_ARCHIVE_ENTRIES
-    plain = df.filter(~fits | (F.col("_repeats") == 1)).withColumn("entry", F.when(fits, F.col(name)))
-    repeated = df.filter(fits & (F.col("_repeats") > 1))
-    return plain.unionByName(_numbered(repeated, archive, name, order)).drop("_entries", "_repeats")
-
-
-def archive_budget(
-    files: DataFrame, archive: list[str], max_bytes: int = K.MAX_ARCHIVE_BYTES, max_file: int = K.MAX_FILE_BYTES,
-    max_files: int = K.MAX_ARCHIVE_FILES,
-) -> DataFrame:
-    """Which files fit: skip one that would exceed the total but keep later, smaller ones.
-
-    A selection of more than ``max_files`` is refused as a whole, as one row. Reading stops
-    one file beyond that, so the array folded per archive is bounded however large the
-    selection. Adds note, running, files_included, files_selected and total_bytes.
-    """
-    rest = [c for c in files.columns if c not in (*archive, "seq", "bytes")]
-    turn = Window.partitionBy(*archive).orderBy("seq")
-    head = files.withColumn("_n", F.row_number().over(turn)).filter(F.col("_n") <= max_files + 1)
-    row = F.struct("seq", F.col("bytes").cast("bigint").alias("bytes"), *rest)
-    lists = head.groupBy(*archive).agg(F.array_sort(F.collect_list(row)).alias("files"))
-
-    def step(acc: Column, f: Column) -> Column:
-        note = (
-            F.when(f["bytes"].isNull(), "skipped: request failed")
-            .when(f["bytes"] > max_file, f"skipped: larger than the {max_file // 1024 // 1024} MB per-file limit")
-            .when(acc["total"] + f["bytes"] > max_bytes, "skipped: the archive reached its total size limit")
-            .otherwise("included")
-        )
-        total = acc["total"] + F.when(note == "included", f["bytes"]).otherwise(F.lit(0).cast("bigint"))
-        return F.struct(total.alias("total"), F.array_append(acc["notes"], F.struct(note.alias("note"), total.alias("running"))).alias("notes"))
-
-    start = F.struct(
-        F.lit(0).cast("bigint").alias("total"), F.array().cast("array<struct<note:string,running:bigint>>").alias("notes")
-    )
-    fits = F.size("files") <= max_files
-    refusal = F.struct(
-        F.lit(f"refused: a single download is limited to {max_files} files").alias("note"), F.lit(None).cast("bigint").alias("running")
-    )
-    folded = lists.withColumn("_notes", F.when(fits, F.aggregate("files", start, step)["notes"]).otherwise(F.array(refusal)))
-    folded = folded.withColumn("files", F.when(fits, F.col("files")).otherwise(F.slice("files", 1, 1)))
-    rows = folded.select(
-        *archive,
-        F.size(F.filter("_notes", lambda n: n["note"] == "included")).cast("bigint").alias("files_included"),
-        F.when(fits, F.size("files")).cast("bigint").alias("files_selected"),
-        F.element_at("_notes", -1)["running"].alias("total_bytes"),
-        F.inline(F.arrays_zip("files", "_notes")),
-    )
-    fields = ["seq", "bytes", *rest]
-    return rows.select(
-        *archive, *[F.col(f"files.{c}").alias(c) for c in fields], F.col("_notes.note").alias("note"),
-        F.col("_notes.running").alias("running"), "files_included", "files_selected", "total_bytes",
-    )
-
-
-def download_manifest(assets: DataFrame, archive: list[str]) -> DataFrame:
-    """Where each selected file went and why not, with archive totals on every row.
-
-    Expects seq, asset_id, asset_kind, filename, url, source_page and bytes.
-    """
-    df = archive_budget(assets, archive)
-    columns = [*archive, "entry", "url", "source_page", "bytes", "status", "note", "files_included", "files_selected", "total_bytes"]
-    folder = F.when(F.col("asset_kind") == "geo", "geo-data").otherwise("images")
-    fallback = F.concat(F.lit("asset-"), F.col("seq").cast("string"))
-    df = df.withColumn("name", F.when(F.col("note") == "included", safe_entry_name(F.col("filename"), fallback)))
-    # One pass: the budget bounds an archive to a few hundred rows, skipped files keep no name.
-    named = _numbered(df, archive, "name", "seq").withColumn("entry", F.when(F.col("entry").isNotNull(), F.concat_ws("/", folder, "entry")))
-    return named.withColumn("status", F.when(F.col("note") == "included", "included").otherwise("skipped")).select(columns)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import crs as C, geometry as G
 from ..functions.stages import stage
 from ..functions.text import escape_xml, kml_filename, number_text
+from .sequences import in_order, neighbours
 
 NOTE = (
     "Generated from geometry published by the source website. Boundaries reproduce the source data and are not a legal "
@@ -17,7 +18,6 @@ DISCLAIMER = (
     "This boundary reproduces the geometry published by the source website. It is\n"
     "not a legal land-survey document unless the authoritative source states that."
 )
-MAX_ATTRIBUTES = 40
 IMAGE_ONLY_NOTE = "map image only, no coordinates published"
 UNVERIFIED_NOTE = "geometry could not be verified"
 
@@ -65,7 +65,7 @@ def geometry_xml(kind: Column, parts: Column, indent: str = "      ") -> Column:
 
 def _description(website: Column, retrieved: Column) -> Column:
     given = lambda label, c: F.when(c.isNotNull(), F.concat(F.lit(f"  {label}: "), c))
-    attributes = F.transform(F.slice("entries", 1, MAX_ATTRIBUTES), lambda e: F.concat(F.lit("  "), e["key"], F.lit(": "), e["value"]))
+    attributes = F.transform("entries", lambda e: F.concat(F.lit("  "), e["key"], F.lit(": "), e["value"]))
     system = F.concat(
         F.lit("  Coordinate system: "), F.col("source_crs"), F.when(F.col("transformed"), f" transformed to {C.WGS84}").otherwise("")
     )
@@ -94,7 +94,7 @@ def placemarks(features: DataFrame, website: str | None = None, retrieved: str |
         if optional not in df.columns:
             df = df.withColumn(optional, F.lit(None).cast("string"))
     data = F.transform(
-        F.slice("entries", 1, MAX_ATTRIBUTES),
+        "entries",
         lambda e: F.concat(
             F.lit('        <Data name="'), escape_xml(e["key"]), F.lit('"><value>'), escape_xml(e["value"]), F.lit("</value></Data>")
         ),
@@ -109,13 +109,19 @@ def placemarks(features: DataFrame, website: str | None = None, retrieved: str |
     return stage(df, placemark=_wrap("Placemark", "    ", body))
 
 
-def document(name: Column, body: Column, note: str | None = None) -> Column:
-    """A whole KML document around ``body``."""
-    head = F.concat(
+def _head(name: Column, note: str | None = None) -> Column:
+    return F.concat(
         F.lit('<?xml version="1.0" encoding="UTF-8"?>\n<kml xmlns="http://www.opengis.net/kml/2.2">\n  <Document>\n    <name>'),
         escape_xml(name), F.lit("</name>\n"), F.lit(f"    <description><![CDATA[{note}]]></description>\n" if note else ""),
     )
-    return F.concat(head, body, F.lit("\n  </Document>\n</kml>\n"))
+
+
+_FOOT = "\n  </Document>\n</kml>"
+
+
+def document(name: Column, body: Column, note: str | None = None) -> Column:
+    """A whole KML document around ``body``."""
+    return F.concat(_head(name, note), body, F.lit(_FOOT + "\n"))
 
 
 def single_documents(features: DataFrame, website: str | None = None, retrieved: str | None = None) -> DataFrame:
@@ -130,13 +136,14 @@ def combined_lines(placed: DataFrame, document_key: str) -> DataFrame:
 
     ``placed`` has the document key, ``trail`` (folder names, outermost first), ``ord`` and
     ``placemark``. Each fragment opens and closes only the folders that differ from its
-    neighbours, so fragments concatenate to a document without ever being collected; a
-    document of any size is written by :func:`write_combined`.
+    neighbours, so fragments concatenate to a document without ever being collected. Placemarks lie in range partitions, also
+    those of one document; the neighbours across an edge come from a table of the partitions' first and last trails.
+    Rows keep ``_part`` and ``_row``, which ascend along each document; ``_previous_trail`` and ``_next_trail`` are null at its ends.
     """
-    page = Window.partitionBy(document_key).orderBy("trail", "ord")
-    df = placed.withColumns({"_prev": F.lag("trail").over(page), "_next": F.lead("trail").over(page)})
     empty = F.array().cast("array<string>")
-    prev, following = F.coalesce("_prev", empty), F.coalesce("_next", empty)
+    ordered = in_order(placed.withColumn("trail", F.coalesce("trail", empty)), [document_key], "trail", "ord")
+    df = neighbours(ordered, [document_key], "trail", "_previous_trail", "_next_trail")
+    prev, following = F.coalesce("_previous_trail", empty), F.coalesce("_next_trail", empty)
 
     def shared(other: Column) -> Column:
         same = F.transform(F.sequence(F.lit(1), F.greatest(F.size("trail"), F.lit(1))), lambda n: F.slice("trail", F.lit(1), n) == F.slice(other, F.lit(1), n))
@@ -148,19 +155,33 @@ def combined_lines(placed: DataFrame, document_key: str) -> DataFrame:
         lambda s: F.concat(F.lit("    <Folder>\n      <name>"), escape_xml(s), F.lit("</name>\n")),
     )
     closed = F.array_repeat(F.lit("\n    </Folder>"), F.size("trail") - shared(following))
-    fragment = F.concat(F.array_join(opened, ""), F.col("placemark"), F.array_join(closed, ""))
-    return df.withColumn("fragment", fragment).drop("_prev", "_next")
+    return df.withColumn("fragment", F.concat(F.array_join(opened, ""), F.col("placemark"), F.array_join(closed, "")))
 
 
 def combined_documents(placed: DataFrame, document_key: str, name: Column) -> DataFrame:
-    """Whole combined documents as one text each, for documents within the export limit of records."""
+    """Whole combined documents as one text each, for documents that fit in a value; others are written by :func:`write_combined`."""
     parts = combined_lines(placed, document_key).groupBy(document_key).agg(
-        F.array_sort(F.collect_list(F.struct("trail", "ord", "fragment"))).alias("fragments"), F.min(name).alias("_name")
+        F.array_sort(F.collect_list(F.struct("_row", "fragment"))).alias("fragments"), F.min(name).alias("_name")
     )
     body = F.array_join(F.transform("fragments", lambda f: f["fragment"]), "\n")
     return parts.select(document_key, F.size("fragments").alias("records"), document(F.col("_name"), body, NOTE).alias("kml"))
 
 
+def write_combined(placed: DataFrame, document_key: str, name: Column, path: str) -> None:
+    """Combined documents of any size as text files under ``path/document_key=.../``.
+
+    A document's files, one behind the other in the order of their names, are its text, byte for byte that of
+    :func:`combined_documents`. Each task writes its stretch of the documents, so none is held by a task. A document needs its
+    ``name`` in its first row only.
+    """
+    lines = combined_lines(placed, document_key)
+    first, last = F.col("_previous_trail").isNull(), F.col("_next_trail").isNull()
+    value = F.concat(F.when(first, _head(name, NOTE)).otherwise(""), F.col("fragment"), F.when(last, _FOOT).otherwise(""))
+    # the stretch of a partition stays in one task and in order: its files are named after the partition
+    stretches = lines.select(document_key, value.alias("value"), "_part", "_row").repartitionByRange("_part", "_row").sortWithinPartitions(document_key, "_row")
+    stretches.select(document_key, "value").write.mode("overwrite").partitionBy(document_key).text(path)
+
+
 def skip_reason(availability: Column) -> Column:
     return F.when(availability == "image-only", IMAGE_ONLY_NOTE).otherwise(UNVERIFIED_NOTE)
 

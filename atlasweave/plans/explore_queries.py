@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..operators import assets as A, explore as X, export as E
+from ..operators import archives as AR, assets as A, explore as X, export as E
 from ..views import view, with_views
 from . import duck as D
 from .asset_queries import ASSETS, DUPLICATES_CTE, VERIFIED, assets, refs, verified
@@ -183,7 +183,7 @@ def unique_entry_names(spark, sf):
     df = view(spark, sf, "v_responses").join(view(spark, sf, "part").withColumnRenamed("p_partkey", "seq"), "seq")
     name = F.concat(F.split_part("p_brand", F.lit("#"), F.lit(1)), F.when(F.col("seq") % 7 == 0, " (2)").otherwise(""), F.lit(".png"))
     archive = F.concat_ws("-", "scan_id", F.floor(F.col("seq") / 100).cast("string"))
-    return E.unique_entry_names(df.select(archive.alias("archive"), "seq", name.alias("name")), ["archive"]).select("archive", "seq", "entry")
+    return AR.unique_entry_names(df.select(archive.alias("archive"), "seq", name.alias("name")), ["archive"]).select("archive", "seq", "entry")
 
 
 def _archive_files(spark, sf):
@@ -208,7 +208,7 @@ st AS (SELECT archive, n, asset_id, bytes, CASE WHEN bytes IS NULL THEN 'skipped
 
 @query("archive_budget", _BUDGET + " SELECT archive, asset_id, bytes, note, total AS running FROM st")
 def archive_budget(spark, sf):
-    return E.archive_budget(_archive_files(spark, sf), ["archive"]).select("archive", "asset_id", "bytes", "note", "running")
+    return AR.archive_budget(_archive_files(spark, sf), ["archive"]).select("archive", "asset_id", "bytes", "note", "running")
 
 
 @query("download_manifest", _BUDGET + """
@@ -216,5 +216,5 @@ SELECT fl.archive, CASE WHEN note = 'included' THEN CASE WHEN asset_kind = 'geo'
  count_if(note = 'included') OVER (PARTITION BY fl.archive)::BIGINT AS files_included, (sum(CASE WHEN note = 'included' THEN fl.bytes END) OVER (PARTITION BY fl.archive))::BIGINT AS total_bytes
 FROM st JOIN fl ON fl.archive = st.archive AND fl.n = st.n""")
 def download_manifest(spark, sf):
-    df = E.download_manifest(_archive_files(spark, sf), ["archive"])
+    df = AR.download_manifest(_archive_files(spark, sf), ["archive"])
     return df.select("archive", "entry", "url", "bytes", "status", "note", "files_included", "total_bytes")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import export as E, kml as KML, parcels as P, places as PL, retention as R
+from ..operators import archives as AR, kml as KML, parcels as P, places as PL, retention as R
 from ..sources import geofiles as S
 from ..views import view, with_views
 from .place_queries import FULL, MODEL, NODES_CTE, PLACES, Model
@@ -42,7 +42,7 @@ def kml_per_parcel(spark, sf):
     records = Model(spark, sf).records
     docs = KML.single_documents(records.withColumn("title", F.col("name")), website="site.example.co.in")
     docs = docs.withColumn("name", KML.kml_filename(F.coalesce("reference", "name"), F.col("parcel_id")))
-    named = E.unique_entry_names(docs.select("map_id", "parcel_id", "ord", "name"), ["map_id"], "name", "ord")
+    named = AR.unique_entry_names(docs.select("map_id", "parcel_id", "ord", "name"), ["map_id"], "name", "ord")
     skipped = KML.export_split(records).filter("not exported")
     none = F.lit(None).cast("string")
     return named.select("map_id", "parcel_id", "entry", none.alias("skip_line")).unionByName(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,14 +25,12 @@ def local_session(app: str = "atlasweave", cpus: str | int = "*", partitions: in
     )
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint, in the folder the cluster names.
+def _shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names.
 
-    A folder of our own is used only where ``spark.checkpoint.dir`` is unset and the
-    master is local, as in tests: a machine-local folder would not survive the loss of
-    an executor on a cluster.
+    A folder of our own is used only where it is unset and the master is local, as in tests: a
+    machine-local folder would not survive the loss of an executor on a cluster.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
@@ -41,4 +40,18 @@ def checkpointed(df: DataFrame) -> DataFrame:
             context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
         else:
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut lineage with a reliable checkpoint, in the folder the cluster names."""
+    _shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder. For loops: unlike a checkpoint, a table carries nothing of what the optimizer
+    inferred about its columns, which can double with every round, and its size is known."""
+    path = f"{_shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from atlasweave.functions.geometry import kml_positions
 from atlasweave.functions.ordering import natural_key
-from atlasweave.operators.export import _number_names
 from atlasweave.operators.references import page_links, scan_references
 from atlasweave.sources.geofiles import _tree
 
@@ -34,11 +33,6 @@ def test_long_digit_runs_order_by_value(spark):
     assert got == ["a2", "a010", "a10", "a" + "9" * 20, "a" + "1" * 21, "a" + "1" * 20 + "2"]
 
 
-def test_many_equal_names_are_numbered_in_one_pass():
-    names = _number_names(["a.kml"] * 40_000 + ["a (2).kml"])
-    assert names[1] == "a (2).kml" and names[39_999] == "a (40000).kml" and names[-1] == "a (2) (2).kml"
-
-
 def test_tolerant_xml():
     tree = _tree('<?xml version="1.0" encoding="ISO-8859-1"?><k><n>A&nbsp;x Q & A é &#233; &amp;nbsp;</n><n><![CDATA[x & y]]></n><n>last')
     assert [n.text() for n in tree.children[0].children] == ["A\xa0x Q & A é é &nbsp;", "x & y", "last"]
