@@ -26,10 +26,11 @@ from pyspark.sql import functions as F
 from atlasweave.llm.frames import plain
 
 #: Texts between blanks, and matches of the pattern, that a worker remembers before it starts anew, and the longest of them.
-REMEMBERED, LONGEST_REMEMBERED = 300_000, 48
+REMEMBERED, LONGEST_REMEMBERED = 500_000, 48
 #: Characters behind a match that the pattern may look at before it decides for this match.
 LOOKAHEAD = 4
 _NEVER = 1 << 40
+_SHIFT = 32
 _BLANK = re.compile(r" (?=\S)")
 
 
@@ -41,7 +42,8 @@ class ByteVocabulary:
             self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
         self.tokens = {rank: token for token, rank in self.ranks.items()}
         self.names = {rank: str(rank) for rank in self.tokens}
-        self.longest = max(map(len, self.ranks))
+        self.lengths = {rank: len(token) for rank, token in self.tokens.items()}
+        self.longest = max(self.lengths.values())
         self.pattern = regex.compile(pattern)
         self.automaton = ahocorasick.Automaton()
         for token, rank in self.ranks.items():
@@ -52,7 +54,7 @@ class ByteVocabulary:
         self._same: set[str] = set()
         self._odd: dict[str, str] = {}
         self._borders: dict[int, tuple[list, list] | None] = {}
-        self._fits: dict[tuple[int, int], bool] = {}
+        self._fits: dict[int, bool] = {}
         self._units: dict[str, tuple[int, ...]] = {}
         self._matches: dict[str, tuple[int, ...]] = {}
 
@@ -99,12 +101,10 @@ class ByteVocabulary:
 
     def fits(self, first: int, second: int) -> bool:
         """Whether the encoding of the bytes of both tokens is just these two."""
-        known = self._fits.get((first, second))
-        if known is None:
-            if len(self._fits) > 4 * REMEMBERED:
-                self._fits.clear()
-            known = self._fits[first, second] = self._compare(first, second)
-        return known
+        pair = first << _SHIFT | second
+        if pair not in self._fits:
+            self._fits[pair] = self._compare(first, second)
+        return self._fits[pair]
 
     def _compare(self, first: int, second: int) -> bool:
         one, other, tokens, ranks = self.borders(first), self.borders(second), self.tokens, self.ranks
@@ -120,6 +120,26 @@ class ByteVocabulary:
                 return True
             i, j = (i + 1, j) if x_taken <= y_taken else (i, j + 1)
 
+    def _table(self, data: bytes) -> list[int]:
+        """``last_tokens`` of new bytes, in which most tokens and pairs have been seen before."""
+        last, fits, known = [-1] * (len(data) + 1), self._fits, self._fits.get
+        for end, (token, length) in self.automaton.iter(data.decode("latin-1")):
+            at = end + 1
+            if last[at] >= 0:
+                continue
+            if length == at:
+                if self.borders(token) is not None:
+                    last[at] = token
+            elif (before := last[at - length]) >= 0:
+                pair = before << _SHIFT | token
+                if (fit := known(pair)) is None:
+                    fit = fits[pair] = self._compare(before, token)
+                if fit:
+                    last[at] = token
+        if len(fits) > 4 * REMEMBERED:
+            fits.clear()
+        return last
+
     def last_tokens(self, data: bytes, known: list[int] | None = None, tail: tuple[list[int], int] | None = None) -> tuple[list[int], int]:
         """(last token of each prefix of ``data``, number of prefixes computed).
 
@@ -148,10 +168,11 @@ class ByteVocabulary:
 
     def follow(self, last: list[int]) -> list[int]:
         """The ids that a table of last tokens holds."""
-        out, at = [], len(last) - 1
+        out, at, lengths = [], len(last) - 1, self.lengths
         while at:
-            out.append(last[at])
-            at -= len(self.tokens[last[at]])
+            token = last[at]
+            out.append(token)
+            at -= lengths[token]
         return out[::-1]
 
     def match_ids(self, match: str) -> tuple[int, ...]:
@@ -160,7 +181,7 @@ class ByteVocabulary:
         if ids is None:
             data = match.encode()
             whole = self.ranks.get(data)
-            ids = (whole,) if whole is not None else tuple(self.follow(self.last_tokens(data)[0]))
+            ids = (whole,) if whole is not None else tuple(self.follow(self._table(data)))
             if len(match) <= LONGEST_REMEMBERED:
                 if len(self._matches) > REMEMBERED:
                     self._matches.clear()
