@@ -12,7 +12,7 @@ import heapq
 import re
 import struct
 from collections.abc import Iterator
-from itertools import pairwise
+from itertools import accumulate, chain, pairwise
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -82,13 +82,22 @@ class PieceModel:
         self.direct = self.by_word and self.fallback and not self.map.units and self.spec.add_dummy_prefix and not self.spec.remove_extra_whitespaces
         # characters that stand side by side in no piece never merge, nor does what lies on their two sides
         self.joined = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
-        self.known: dict[str, str] = {}
-        self.runs: dict[str, str] = {}
+        self.known: dict[str, tuple[tuple[int, ...], tuple[int, ...]]] = {}
+        self.runs: dict[str, tuple[tuple[int, ...], tuple[int, ...]]] = {}
+        self.names = [str(i) for i in range(len(self.pieces))]
+        self.surfaces = [bytes([self.byte_of[i]]) if i in self.byte_of else b"" if i in self.control else (self.surface if i == self.unknown else p.replace(MARK, " ")).encode() for i, p in enumerate(self.pieces)]
 
-    def normalize(self, text: str) -> tuple[str, list[int]]:
-        """The normalised text and, for each of its characters and its end, the byte of the original where it begins."""
-        data, at, out, source = text.encode(), 0, [], []
+    def normalize(self, text: str, begins: bool = True) -> tuple[str, list[int]]:
+        """The normalised text and, for each of its characters and its end, the byte of the original where it begins.
+
+        A text that does not begin here gets no dummy prefix.
+        """
         extra, space = self.spec.remove_extra_whitespaces, MARK if self.spec.escape_whitespaces else " "
+        if not self.map.units and not extra:  # the longest prefix in an empty map is always the character itself
+            source = list(range(len(text) + 1)) if text.isascii() else list(accumulate([len(c.encode()) for c in text], initial=0))
+            dummy = bool(text) and begins and self.spec.add_dummy_prefix
+            return space * dummy + text.replace(" ", space), [0] * dummy + source
+        data, at, out, source = text.encode(), 0, [], []
         read = []
         while at < len(data):
             used, new = self.map.longest(data, at) or (0, b"")
@@ -100,7 +109,7 @@ class PieceModel:
         if extra:
             while read and read[0][1] == " ":
                 read.pop(0)
-        if read and self.spec.add_dummy_prefix:
+        if read and begins and self.spec.add_dummy_prefix:
             out.append(space), source.append(read[0][0])
         before = extra
         for start, new in read:
@@ -170,19 +179,31 @@ class PieceModel:
                 start = i
         return [*out, word[start:]]
 
-    def _remember(self, word: str) -> str | None:
-        """The ids of a word as a decimal list; None if they do not decode to the word."""
-        found = []
-        if len(self.runs) > REMEMBERED:
-            self.runs.clear()
+    def _word_spans(self, word: str) -> tuple[tuple[int, ...], tuple[int, ...]]:
+        """The ids of a word that begins with its mark, and how many source bytes each piece covers."""
+        ids, widths, runs = [], [], self.runs
+        if len(runs) > REMEMBERED:
+            runs.clear()
         for run in self._runs(word):
-            if (one := self.runs.get(run)) is None:
-                ids = self.word_ids(run)
-                if self._decoded(ids) != run.replace(MARK, " "):
-                    return None
-                one = self.runs[run] = ",".join(map(str, ids))
-            found.append(one)
-        return ",".join(found)
+            if (one := runs.get(run)) is None:
+                one = runs[run] = self._run_spans(run)
+            ids += one[0]
+            widths += one[1]
+        return tuple(ids), tuple(widths)
+
+    def _run_spans(self, run: str) -> tuple[tuple[int, ...], tuple[int, ...]]:
+        normal, source = self.normalize(run.replace(MARK, " "), begins=False)
+        ids, widths, at, known = [], [], 0, self.ids.get
+        for part in self.merge(normal):
+            end = at + len(part)
+            i, width = known(part), source[end] - source[at]
+            if i is not None:
+                ids.append(i), widths.append(width)
+            else:  # a character of no piece: its bytes
+                ids += [self.bytes[b] for b in part.encode()]
+                widths += [1] * width
+            at = end
+        return tuple(ids), tuple(widths)
 
     def _words(self, normal: str) -> list[str]:
         return re.findall(f"{MARK}+[^{MARK}]*|[^{MARK}]+", normal) if self.by_word else [normal] * bool(normal)
@@ -190,9 +211,8 @@ class PieceModel:
     def encode(self, text: str) -> list[int]:
         return [i for word in self._words(self.normalize(text)[0]) for i in self.word_ids(word)]
 
-    def spans(self, text: str) -> list[tuple[int, int, int]]:
-        """(id, begin, end) of each piece, in bytes of the original text; a byte piece is one byte of its character."""
-        normal, source = self.normalize(text)
+    def _project(self, normal: str, source: list[int]) -> list[tuple[int, int, int]]:
+        """(id, begin, end) of each piece of a normalised text, in bytes of its source."""
         out, at = [], 0
         for word in self._words(normal):
             for part in self.merge(word):
@@ -208,6 +228,32 @@ class PieceModel:
                     out.append((self.unknown if i is None else i, begin, end))
         return out
 
+    def spans(self, text: str) -> tuple[list[int], list[int], list[int]]:
+        """(ids, begins, ends) of the pieces, in bytes of the original text; a byte piece is one byte of its character.
+
+        Where no rule of the character map can reach across a blank, words are normalised, merged and projected one by one, and
+        those that come again are remembered with the widths of their pieces; a text's spans are the sums of these widths.
+        """
+        if not text or not self.direct or MARK in text:
+            found = self._project(*self.normalize(text))
+            return tuple(map(list, zip(*found))) if found else ([], [], [])
+        words = text.split(" ")
+        words = words if "" not in words else [w[1:] for w in self._words(MARK + text.replace(" ", MARK))]
+        known = self.known
+        if len(known) > REMEMBERED:
+            known.clear()
+        try:
+            pairs = [known[w] for w in words]
+        except KeyError:
+            for w in words:
+                if w not in known:
+                    known[w] = self._word_spans(MARK + w)
+            pairs = [known[w] for w in words]
+        ids = list(chain.from_iterable([p[0] for p in pairs]))
+        # the blank before the first word is no byte of the text
+        ends = list(accumulate(chain.from_iterable([p[1] for p in pairs]), initial=-1))
+        return ids, [0, *ends[1:-1]], ends[1:]
+
     def _decoded(self, ids: list[int]) -> str:
         """Text of the pieces, the mark that a beginning of a text loses still in front."""
         out, raw = [], bytearray()
@@ -223,41 +269,26 @@ class PieceModel:
         return "".join(out)
 
     def decode(self, ids: list[int]) -> str:
-        text, first = self._decoded(ids), next((i for i in ids if i not in self.control), None)
+        first = next((i for i in ids if i not in self.control), None)
         drop = first is not None and self.pieces[first].startswith(MARK) and (self.spec.add_dummy_prefix or self.spec.remove_extra_whitespaces)
+        try:
+            text = b"".join(map(self.surfaces.__getitem__, ids)).decode()
+        except UnicodeDecodeError:  # byte pieces that are no characters
+            text = self._decoded(ids)
         return text[1:] if drop else text
 
-    def digest(self, text: str) -> tuple[int, str, str, str]:
-        """(number of ids, their decimal list, decoded text): what ``encode`` and ``decode`` give, word by word from memory."""
-        if self.direct and MARK not in text and text:
-            words = text.split(" ")
-            words = words if "" not in words else [w[1:] for w in self._words(MARK + text.replace(" ", MARK))]
-            known = self.known
-            try:
-                listed = ",".join([known[w] for w in words])
-            except KeyError:
-                if len(known) > REMEMBERED:
-                    known.clear()
-                for w in words:
-                    if w not in known:
-                        if (one := self._remember(MARK + w)) is None:
-                            break
-                        known[w] = one
-                else:
-                    listed = ",".join([known[w] for w in words])
-                    return listed.count(",") + 1, listed, text  # each word decodes to itself, with the blank before it
-            else:
-                return listed.count(",") + 1, listed, text
-        ids = self.encode(text)
-        return len(ids), ",".join(map(str, ids)), self.decode(ids)
-
 
 def _utf8(data: bytes) -> str:
     """Bytes as text; each byte that is no part of a character is one replacement character."""
-    try:
-        return data.decode()
-    except UnicodeDecodeError as error:
-        return data[: error.start].decode() + "�" + _utf8(data[error.start + 1 :])
+    out = []
+    while data:
+        try:
+            out.append(data.decode())
+            break
+        except UnicodeDecodeError as error:
+            out += [data[: error.start].decode(), "\ufffd"]
+            data = data[error.start + 1 :]
+    return "".join(out)
 
 
 _MODELS: dict[str, PieceModel] = {}
@@ -282,7 +313,7 @@ def encode_texts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
             for first in range(0, batch.num_rows, 200):
                 part = batch.slice(first, 200)
                 found = [pieces.spans(t.as_py()) for t in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([[s[k] for s in spans] for spans in found], kind) for k in range(3))], ["id", "ids", "begins", "ends"])
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([spans[k] for spans in found], kind) for k in range(3))], ["id", "ids", "begins", "ends"])
 
     return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, ids array<int>, begins array<int>, ends array<int>")
 
@@ -301,17 +332,23 @@ def decode_ids(encoded: DataFrame, model: str, id_col: str = "id", ids_col: str
 
 
 def round_trip(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256): what encoding and decoding a text gives, as digests; nulls as in ``encode_texts``."""
+    """(id, n_tokens, ids_sha256, decoded_sha256, covered): the pieces that ``encode_texts`` finds and the text that their ids decode to, as
+    digests, and the number of source bytes that the spans cover without gap or overlap; nulls as in ``encode_texts``."""
     source = plain(docs, id=id_col, text=text_col).select("id", F.coalesce("text", F.lit("")).alias("text"))
     sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _model(model)
+        name = pieces.names.__getitem__
         for batch in batches:
-            counts, ids, texts = [], [], []
+            counts, listed, texts, covered = [], [], [], []
             for text in batch.column(1):
-                n, listed, decoded = pieces.digest(text.as_py())
-                counts.append(n), ids.append(sha(listed)), texts.append(sha(decoded))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+                ids, begins, ends = pieces.spans(text.as_py())
+                counts.append(len(ids)), listed.append(sha(",".join(map(name, ids)))), texts.append(sha(pieces.decode(ids)))
+                covered.append(ends[-1] if ids and begins[0] == 0 and begins[1:] == ends[:-1] else 0)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(counts, pa.int64()), pa.array(listed, pa.string()), pa.array(texts, pa.string()), pa.array(covered, pa.int64())],
+                ["id", "n_tokens", "ids_sha256", "decoded_sha256", "covered"],
+            )
+
+    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string, covered long")

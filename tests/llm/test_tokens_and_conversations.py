@@ -298,3 +298,24 @@ def test_both_libraries_cut_alike():
         got = [bool(classes[p].encode_ordinary(c)) for p in (r"\p{L}", r"\p{N}")]
         assert got == [lengths == (2, 1), lengths == (1, 2)]
         assert bool(classes[r"\s"].encode_ordinary(c)) == (len(cut("a" + c * 2 + "b")) == 4)
+
+
+# --- pieces
+
+
+def test_spans_tile_each_text_and_ids_decode(docs):
+    from atlasweave.llm import pieces
+
+    library, rng = sentencepiece.SentencePieceProcessor(model_file=PIECES), random.Random(6)
+    model = pieces.PieceModel(PIECES)
+    for _ in range(1500):
+        one = text(rng, 40, [*ALPHABETS, "▁ a"])
+        ids, begins, ends = model.spans(one)
+        data = one.encode()
+        assert ids == library.encode(one) and model.decode(ids) == library.decode(ids)
+        assert [0, *ends] == [*begins, len(data)] if ids else not one
+        ids = [rng.choice([rng.randrange(3, 259), rng.randrange(259, 32_000)]) for _ in range(rng.randint(0, 10))]
+        assert model.decode(ids) == library.decode(ids)
+    assert model.decode([model.bytes[0xFF]] * 5000) == "�" * 5000
+    covered = {(r.id, r.covered) for r in pieces.round_trip(docs, PIECES).collect()}
+    assert covered == {(r.doc_id, len((r.text or "").encode())) for r in docs.collect()}
