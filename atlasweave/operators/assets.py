@@ -109,21 +109,22 @@ def cap_assets(assets: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
     return assets.filter(F.col("seq") <= limit), issues
 
 
-def context_hint_sets(refs: DataFrame, limit: int = 8) -> DataFrame:
-    """First ``limit`` distinct context hints per asset, in order of appearance.
+def context_hint_sets(refs: DataFrame, limit: int | None = None) -> DataFrame:
+    """Distinct context hints per asset, in order of appearance, the first ``limit`` of them if that is given.
 
     ``refs`` carries scan_id, canonical_url, context_hint and the order columns. Distinct
-    hints are reduced first; the group limit of the window keeps at most ``limit`` per task.
+    hints are reduced first; with ``limit``, the group limit of the window keeps no more per task.
     """
     from pyspark.sql import Window
 
     seen = refs.filter("context_hint is not null").groupBy("scan_id", "canonical_url", "context_hint").agg(
         F.min(F.struct(*ORDER)).alias("o")
     )
-    ranked = Window.partitionBy("scan_id", "canonical_url").orderBy("o", "context_hint")
-    kept = seen.withColumn("n", F.row_number().over(ranked)).filter(F.col("n") <= limit)
-    return kept.groupBy("scan_id", "canonical_url").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("n", "context_hint"))), lambda x: x["context_hint"]).alias("context_hints")
+    if limit is not None:
+        ranked = Window.partitionBy("scan_id", "canonical_url").orderBy("o", "context_hint")
+        seen = seen.withColumn("n", F.row_number().over(ranked)).filter(F.col("n") <= limit)
+    return seen.groupBy("scan_id", "canonical_url").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("o", "context_hint"))), lambda x: x["context_hint"]).alias("context_hints")
     )
 
 

@@ -9,7 +9,6 @@ from ..functions import land
 from ..functions.stages import stage
 from ..functions.text import strip
 
-MAX_NAME = 120
 STEPS = "array<struct<name:string,kind:string,evidence:string>>"
 
 
@@ -47,7 +46,7 @@ def with_location(df: DataFrame, steps: str = "steps") -> DataFrame:
     """
     usable = F.filter(
         F.transform(steps, lambda s: F.struct(strip(s["name"]).alias("name"), s["kind"].alias("kind"), s["evidence"].alias("evidence"))),
-        lambda s: (s["name"] != "") & (F.length(s["name"]) <= MAX_NAME),
+        lambda s: s["name"] != "",
     )
     df = stage(df, _usable=usable)
     node = "struct<id:string,parent_id:string,name:string,kind:string,evidence:string,depth:int>"

@@ -237,7 +237,7 @@ def non_map_images(spark, sf):
 
 
 @query("context_hint_sets", ASSETS + """, h AS (SELECT scan_id, canonical_url, source_type || ' ' || element_path AS hint, min(o) AS o FROM r GROUP BY ALL)
-SELECT scan_id, canonical_url, string_agg(hint, ' | ' ORDER BY o, hint) AS hints FROM (SELECT *, row_number() OVER (PARTITION BY scan_id, canonical_url ORDER BY o, hint) AS n FROM h) WHERE n <= 8 GROUP BY scan_id, canonical_url""")
+SELECT scan_id, canonical_url, string_agg(hint, ' | ' ORDER BY o, hint) AS hints FROM h GROUP BY scan_id, canonical_url""")
 def context_hint_sets(spark, sf):
     r = U.with_canonical(refs(spark, sf), "resolved_url", "canonical_url")
     r = r.withColumn("context_hint", F.concat_ws(" ", "source_type", "element_path"))

@@ -34,7 +34,6 @@ _RAW = (
     "asset_id url kind idx name description entries folder_path polygons lines points href north south east west "
     "rotation warning"
 ).split()
-MAX_ENTRY_BYTES = 64 * 1024 * 1024
 FEATURE_COLUMNS = [
     "asset_id", "url", "feature_id", "idx", "name", "description", "geometry_type", "parts", "entries", "source_crs",
     "transformed", "confidence", "folder_path",
@@ -110,7 +109,7 @@ def _tree(xml: str) -> _Element:
 
 
 def _label(node: _Element | None) -> str | None:
-    return (" ".join(node.text().split())[:2000] or None) if node is not None else None
+    return (" ".join(node.text().split()) or None) if node is not None else None
 
 
 def _row(**known) -> tuple:
@@ -186,8 +185,6 @@ def _kmz_rows(body: bytes, asset_id: str, url: str) -> Iterator[tuple]:
             if not named:
                 yield _row(asset_id=asset_id, url=url, kind="document", warning=K.KMZ_NO_KML_WARNING)
                 return
-            if named[0].file_size > MAX_ENTRY_BYTES:
-                raise zipfile.BadZipFile
             xml = archive.read(named[0]).decode("utf-8", "replace")
     except (zipfile.BadZipFile, NotImplementedError, RuntimeError, OSError, EOFError, ValueError):
         yield _row(asset_id=asset_id, url=url, kind="document", warning=K.KMZ_UNREADABLE_WARNING)

@@ -4,8 +4,9 @@ from pyspark.sql import functions as F
 
 from atlasweave.functions.geometry import kml_positions
 from atlasweave.functions.ordering import natural_key
+from atlasweave.operators.assets import context_hint_sets
 from atlasweave.operators.references import page_links, scan_references
-from atlasweave.sources.geofiles import _tree
+from atlasweave.sources.geofiles import _tree, xml_features, xml_rows
 
 
 def test_every_reference_and_link_of_a_page(spark):
@@ -37,3 +38,14 @@ def test_tolerant_xml():
     tree = _tree('<?xml version="1.0" encoding="ISO-8859-1"?><k><n>A&nbsp;x Q & A é &#233; &amp;nbsp;</n><n><![CDATA[x & y]]></n><n>last')
     assert [n.text() for n in tree.children[0].children] == ["A\xa0x Q & A é é &nbsp;", "x & y", "last"]
     assert _tree('<?xml version="1.0" encoding="UTF-16"?><k><n>ü</n></k>').children[0].children[0].text() == "ü"
+
+
+def test_long_descriptions_and_places_and_many_hints(spark):
+    body = f"<kml><Document><Placemark><name>{'n' * 3000}</name><Point><coordinates>1,2</coordinates></Point></Placemark></Document></kml>"
+    files = spark.createDataFrame([("a", "https://x.test/a.kml", "kml", bytearray(body.encode()))], "asset_id string, url string, format string, body binary")
+    assert [len(r.name) for r in xml_features(xml_rows(files)).collect()] == [3000]
+    rows = [("s", "u", f"hint {n:02}", n, 0, 0, "o") for n in range(30)]
+    refs = spark.createDataFrame(rows, "scan_id string, canonical_url string, context_hint string, page_seq int, path_rank int, ordinal int, original_url string")
+    (row,) = context_hint_sets(refs).collect()
+    assert row.context_hints == [f"hint {n:02}" for n in range(30)]
+    assert context_hint_sets(refs, limit=8).first().context_hints == row.context_hints[:8]
