@@ -15,7 +15,8 @@ SF = "/root/testdata/sf0.001"
 _spec = importlib.util.spec_from_file_location("check", Path(__file__).resolve().parents[1] / "tools" / "check.py")
 check = importlib.util.module_from_spec(_spec)
 _spec.loader.exec_module(check)
-CHOSEN = ["consolidate_links", "consolidate_assets", "verify_assets", "content_duplicates", "kml_features", "geojson_features", "locations", "robots_allowed"]
+CHOSEN = ["consolidate_links", "consolidate_assets", "verify_assets", "content_duplicates", "kml_features", "geojson_features", "locations", "robots_allowed", "image_headers",
+          "unique_entry_names", "archive_budget", "download_manifest", "context_hint_sets"]
 
 
 @pytest.fixture(scope="module")
