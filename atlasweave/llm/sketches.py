@@ -18,17 +18,29 @@ from atlasweave.llm.frames import plain, saved
 CELLS, GROWTH = 24, 8
 #: Peeling steps of one attempt; each takes one of the three sub-tables.
 STEPS = 6
-#: A line beyond this many characters is read as one paragraph for each of its sentences.
-LONG_LINE = 300
+#: A paragraph has at most LONGEST characters; from SOFT characters on, some blanks between words end it too.
+LONGEST, SOFT = 160, 48
+#: Digests that one task sketches.
+TASK_DIGESTS = 400_000
 #: Documents of a range that one task pairs with their successors; beyond RANGES ranges, ranges grow instead.
 RANGE_ROWS, RANGES, QUANTILES = 1500, 200_000, 256
 _LAST = (1 << 63) - 1
 
 
+def _paragraph_pattern() -> str:
+    """A stretch up to the end of a sentence or line; else up to a blank that the letters beside it choose; else LONGEST characters."""
+    sentence = r"[.!?](?=\s)|[。！？]|(?=\n|$)"
+    chosen_blank = r"(?<=[ans])(?=\s[a-e])"
+    return rf"[^\n]{{1,{SOFT}}}?(?:{sentence})|[^\n]{{{SOFT},{LONGEST}}}?(?:{sentence}|{chosen_blank})|[^\n]{{1,{LONGEST}}}"
+
+
 def paragraph_digests(text: Column) -> Column:
-    """Distinct 64-bit digests of the paragraphs: trimmed lines that are not blank."""
-    lines = F.transform(F.split(text, "\n"), lambda line: F.when(F.char_length(line) > LONG_LINE, F.split(line, r"(?<=[.!?]) ")).otherwise(F.array(line)))
-    return F.array_distinct(F.transform(F.filter(F.transform(F.flatten(lines), F.trim), lambda p: p != ""), lambda p: F.xxhash64(p)))
+    """Distinct 64-bit digests of the paragraphs: trimmed stretches that are not blank, cut by one rule at every length.
+
+    Cuts follow from the text itself, so texts that share a passage share its paragraphs from their first common cut on.
+    """
+    cut = F.regexp_extract_all(text, F.lit(_paragraph_pattern()), F.lit(0))
+    return F.array_distinct(F.transform(F.filter(F.transform(cut, lambda p: F.trim(p)), lambda p: p != ""), lambda p: F.xxhash64(p)))
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -112,29 +124,32 @@ def _peel(cells: DataFrame, size: int) -> DataFrame:
 
 
 def _subtracted(pairs: DataFrame, cells: int) -> DataFrame:
-    """The cells of ``a`` less those of ``b``, by document on one task each."""
+    """The cells of ``a`` less those of ``b``; rows placed by (row, pair) are not moved."""
     both = F.explode(F.array(F.struct(F.lit(1).alias("sign"), F.col("a").alias("digests")), F.struct(F.lit(-1).alias("sign"), F.col("b").alias("digests"))))
-    sides = pairs.repartition("row").select("row", "pair", both.alias("x")).select("row", "pair", "x.sign", "x.digests")
+    sides = pairs.select("row", "pair", both.alias("x")).select("row", "pair", "x.sign", "x.digests")
     parts = sketch(sides, cells, "row", "pair", "sign")
     return _sums(parts.select(*_KEYS, (F.col("n") * F.col("sign")).alias("n"), "key", "check"), *_KEYS)
 
 
 def differences(pairs: DataFrame, cells: int = CELLS, growth: int = GROWTH) -> DataFrame:
-    """(row, pair, plus, minus): how many digests only ``a`` and only ``b`` have, for rows (row, pair, a, b) of digest arrays.
+    """(row, pair, plus, minus, cells): how many digests only ``a`` and only ``b`` have, for rows (row, pair, a, b) of digest arrays.
 
-    A pair whose table can't be peeled is sketched again, ``growth`` times larger, until it can. Pairs without a
-    difference have no cells and no row.
+    A pair whose table can't be peeled is sketched again, ``growth`` times larger, until it can; ``cells`` is the size that
+    could. Pairs without a difference have no cells and no row. Pairs are spread by the number of their digests.
     """
-    todo, done = pairs, None
+    total = pairs.agg(F.sum(F.size("a").cast("long") + F.size("b"))).first()[0] or 0
+    parts = max(1, min(RANGES, -(-total // TASK_DIGESTS)))
+    placed = pairs.repartition(parts, "row", "pair")
+    todo, done = placed, None
     while True:
-        subtracted = _subtracted(todo, cells)
-        peeled = saved(_peel(subtracted, cells))
-        good = peeled.where("stuck = 0").select("row", "pair", "plus", "minus")
+        peeled = saved(_peel(_subtracted(todo, cells), cells))
+        good = peeled.where("stuck = 0").select("row", "pair", "plus", "minus", F.lit(cells).cast("long").alias("cells"))
         done = good if done is None else done.unionByName(good)
         stuck = peeled.where("stuck > 0").select("row", "pair")
         if stuck.isEmpty():
             return done
-        todo, cells = pairs.join(stuck, ["row", "pair"], "left_semi"), cells * growth
+        todo = placed.join(stuck.repartition(parts, "row", "pair").hint("shuffle_hash"), ["row", "pair"], "left_semi")
+        cells *= growth
 
 
 def recovered(pairs: DataFrame, cells: int) -> DataFrame:
@@ -152,11 +167,12 @@ def fingerprint_text(digested: DataFrame, column: str, cells: int = CELLS) -> Da
 
 
 def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of every row.
+    """(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, edited_cells, next_cells) of every row.
 
     The edited text has its last quarter of code points replaced by the first as many of the next document. Likeness is
     1 less the share of recovered differences among the paragraphs of both; two texts without paragraphs have 1. Equal
-    texts have equal fingerprints; a text without paragraphs has the fingerprint of an empty table.
+    texts have equal fingerprints; a text without paragraphs has the fingerprint of an empty table. Fingerprints have CELLS
+    cells; ``edited_cells`` and ``next_cells`` are the sizes at which the differences could be peeled, 0 where there were none.
     """
     texts = with_next(docs, id_col, text_col)
     n = F.char_length("text")
@@ -169,7 +185,7 @@ def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     digested = saved(digested)
     both = F.explode(F.array(*(F.struct(F.lit(pair).alias("pair"), F.col("own").alias("a"), F.col(other).alias("b")) for pair, other in ((0, "changed"), (1, "next")))))
     found = differences(digested.select("row", both.alias("x")).select("row", "x.*"))
-    per_row = found.groupBy("row").agg(*(F.sum(F.when(F.col("pair") == p, F.col("plus") + F.col("minus"))).alias(f"d{p}") for p in (0, 1)))
+    per_row = found.groupBy("row").agg(*(F.sum(F.when(F.col("pair") == p, value)).alias(f"{name}{p}") for p in (0, 1) for name, value in (("d", F.col("plus") + F.col("minus")), ("cells", F.col("cells")))))
     placed = digested.repartition("row")
     own = fingerprint_text(placed, "own")
     changed = fingerprint_text(placed, "changed").withColumnRenamed("fingerprint", "edited_fingerprint")
@@ -184,4 +200,5 @@ def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return out.select(
         "id", "n_chars", "edited_sha256", whole("fingerprint", "n_own").alias("fingerprint"), whole("edited_fingerprint", "n_changed").alias("edited_fingerprint"),
         near("d0", "n_changed").alias("near_edited"), near("d1", "n_next").alias("near_next"),
+        F.coalesce("cells0", F.lit(0).cast("long")).alias("edited_cells"), F.coalesce("cells1", F.lit(0).cast("long")).alias("next_cells"),
     )
