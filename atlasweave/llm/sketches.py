@@ -19,7 +19,7 @@ CELLS, GROWTH = 24, 8
 #: Peeling steps of one attempt; each takes one of the three sub-tables.
 STEPS = 6
 #: A paragraph has at most LONGEST characters; from SOFT characters on, some blanks between words end it too.
-LONGEST, SOFT = 160, 48
+LONGEST, SOFT = 256, 96
 #: Digests that one task sketches.
 TASK_DIGESTS = 400_000
 #: Documents of a range that one task pairs with their successors; beyond RANGES ranges, ranges grow instead.
@@ -43,11 +43,12 @@ def paragraph_digests(text: Column) -> Column:
     return F.array_distinct(F.transform(F.filter(F.transform(cut, lambda p: F.trim(p)), lambda p: p != ""), lambda p: F.xxhash64(p)))
 
 
-def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **derived: Column) -> DataFrame:
     """(id, text, next_text): each row with the text of the row that follows by id, the last one with the first.
 
     Rows with equal ids follow by a hash of the text; null ids come last; null texts count as empty. Ranges of ids are quantiles,
-    subdivided evenly; the first row of each range also visits the range before it, so texts are shuffled once.
+    subdivided evenly; the first row of each range also visits the range before it, so texts are shuffled once. Columns
+    ``derived`` from "text" come along, as ``name`` and ``next_name``, and are computed once for each row.
     """
     source = plain(docs, id=id_col, text=text_col).withColumn("text", F.coalesce("text", F.lit("")))
     source = source.withColumn("key", F.coalesce(F.col("id").cast("long"), F.lit(_LAST)))
@@ -68,9 +69,12 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     visits = F.array(F.struct("range", F.lit(False).alias("guest")))
     guest = F.array(F.struct(F.col("before").alias("range"), F.lit(True).alias("guest")))
     here = F.when(F.col("first") == F.struct("key", "tie"), F.concat(visits, guest)).otherwise(visits)
-    placed = placed.select("id", "key", "tie", "text", F.explode(here).alias("visit")).select("id", "key", "tie", "text", "visit.range", "visit.guest")
+    kept = ("id", "key", "tie", "text", *derived)
+    placed = placed.select("id", "key", "tie", "text", *(c.alias(n) for n, c in derived.items()), here.alias("here"))
+    placed = placed.select(*kept, F.explode("here").alias("visit")).select(*kept, "visit.range", "visit.guest")
     ordered = Window.partitionBy("range").orderBy("guest", "key", "tie")
-    return placed.withColumn("next_text", F.lead("text").over(ordered)).where("not guest").select("id", "text", "next_text")
+    both = ("text", *derived)
+    return placed.withColumns({f"next_{c}": F.lead(c).over(ordered) for c in both}).where("not guest").select("id", *both, *(f"next_{c}" for c in both))
 
 
 def _check(key: Column) -> Column:
@@ -174,12 +178,12 @@ def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     texts have equal fingerprints; a text without paragraphs has the fingerprint of an empty table. Fingerprints have CELLS
     cells; ``edited_cells`` and ``next_cells`` are the sizes at which the differences could be peeled, 0 where there were none.
     """
-    texts = with_next(docs, id_col, text_col)
+    texts = with_next(docs, id_col, text_col, own=paragraph_digests(F.col("text")))
     n = F.char_length("text")
     edited = F.concat(F.col("text").substr(F.lit(1), n - F.floor(n / 4).cast("int")), F.col("next_text").substr(F.lit(1), F.floor(n / 4).cast("int")))
     digested = texts.withColumn("edited", edited).select(
         "id", n.cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        paragraph_digests(F.col("text")).alias("own"), paragraph_digests(F.col("edited")).alias("changed"), paragraph_digests(F.col("next_text")).alias("next"),
+        "own", paragraph_digests(F.col("edited")).alias("changed"), F.col("next_own").alias("next"),
         F.xxhash64("id", F.monotonically_increasing_id()).alias("row"),
     )
     digested = saved(digested)

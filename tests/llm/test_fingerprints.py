@@ -40,7 +40,7 @@ def test_one_cutting_rule_at_every_length(spark):
     a, b, c, d, e = digests(spark, [short, longer, shifted, solid, ideographs])
     assert len(a & b) >= len(a) - 1 and len(a) >= 2  # only the cut end differs
     assert len(b & c) >= len(b) - 6  # cuts fall into step again after an insertion
-    assert len(d) == 2 and len(e) == 2  # pieces of 160 x and a rest; one for each sentence
+    assert len(d) == 2 and len(e) == 2  # pieces of 256 x and a rest; one for each sentence
     one, two = digests(spark, ["First. Second! Third?\n\n  \nFourth", "Second! First. Third? Fourth"])
     assert one == two and len(one) == 4
 
