@@ -3,7 +3,7 @@
 Each paragraph's digest is added to one cell in each of three sub-tables: a count, the XOR of digests and the XOR of
 check sums. Cells of two versions subtract, so what both have vanishes, and peeling recovers the
 rest: a cell left with one digest names it, and taking it out of its other cells frees more. Where a table
-is too small to peel, the pair is sketched again eight times as large. Everything is aggregates over
+is too small to peel, the pair is sketched again GROWTH times as large; only cells in use are rows, so a large table costs no more. Everything is aggregates over
 (document, cell) rows, placed by document once and never moved after that.
 """
 
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from atlasweave.llm.frames import plain, saved
 
 #: Cells of the first sketch, three sub-tables together, and how much larger each retry is.
-CELLS, GROWTH = 24, 8
+CELLS, GROWTH = 24, 32
 #: Peeling steps of one attempt; each takes one of the three sub-tables.
 STEPS = 6
 #: A paragraph has at most LONGEST characters; from SOFT characters on, some blanks between words end it too.
