@@ -6,26 +6,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
-from ..functions.stages import stage
 from ..session import checkpointed
 
 
-def host_rules(rules: DataFrame) -> DataFrame:
-    """Rules of each host as one array, patterns split at their wildcards.
+def rule_keys(rules: DataFrame) -> DataFrame:
+    """Rules as rows of a prefix trie: (host, prefix, steps, anchored, rank).
 
-    A host's rules come from one bounded file, so the array is bounded too.
+    ``prefix`` is the text before the first wildcard. Rules that need no more than this prefix have null ``steps`` and are
+    merged to the one that decides, so a key has one such row; the others keep their pieces between wildcards.
     """
     body = F.regexp_replace("pattern", r"\$$", "")
-    rule = F.struct(
-        F.length("pattern").alias("length"), "allow", "rule_ord", "pattern", F.split(body, r"\*").alias("steps"),
-        F.endswith("pattern", F.lit("$")).alias("anchored"),
-    )
-    return rules.filter("pattern <> ''").groupBy("host").agg(F.collect_list(rule).alias("rules"))
+    anchored = F.endswith("pattern", F.lit("$"))
+    plain = body.rlike(r"^[^*]*\*+$") | (~F.contains(body, F.lit("*")) & ~anchored)
+    steps = F.split(body, r"\*")
+    rank = F.struct(F.length("pattern").alias("length"), "allow", (-F.col("rule_ord")).alias("first"), "pattern")
+    keys = rules.filter("pattern <> ''").select("host", steps[0].alias("prefix"), F.when(~plain, steps).alias("steps"), F.when(~plain, anchored).alias("anchored"), rank.alias("rank"))
+    return keys.groupBy("host", "prefix", "steps", "anchored").agg(F.max("rank").alias("rank"))
 
 
-def _matches(path: Column, rule: Column) -> Column:
+def _matches(path: Column, steps: Column, anchored: Column) -> Column:
     """Whether the fixed pieces of a pattern occur in order, from the start of the path."""
-    steps = rule["steps"]
     find = lambda s, i: F.call_function("locate", s, path, i)
     end = F.aggregate(
         F.slice(steps, F.lit(2), F.greatest(F.size(steps) - 1, F.lit(0))),
@@ -33,26 +33,35 @@ def _matches(path: Column, rule: Column) -> Column:
         lambda i, s: F.when((i == 0) | (s == ""), i).otherwise(F.when(find(s, i) == 0, 0).otherwise(find(s, i) + F.length(s))),
     )
     tail = F.element_at(steps, -1)
-    return F.startswith(path, steps[0]) & (end > 0) & (~rule["anchored"] | (tail == "") | F.endswith(path, tail))
+    return F.startswith(path, steps[0]) & (end > 0) & (~anchored | (tail == "") | F.endswith(path, tail))
 
 
-def robots_allowed(urls: DataFrame, rules: DataFrame, url: str = "url") -> DataFrame:
-    """Add ``allowed`` and the deciding ``rule``: the longest match wins, allow wins ties.
+def robots_allowed(urls: DataFrame, rules: DataFrame, url: str = "url", salts: int = 8) -> DataFrame:
+    """Add ``host``, ``allowed`` and the deciding ``rule``: the longest match wins, allow wins ties.
 
-    One join on the host brings all its rules, so no URL-by-rule rows are ever produced and
-    nothing is aggregated afterwards.
+    Each distinct URL is looked up under those of its prefixes whose lengths occur among the rules of its host; the rules
+    meet it by equality on (host, prefix), and only those with wildcards are compared further. Rules are repeated for each
+    of ``salts`` shares of a host's URLs, so that one large site is spread over tasks; small rule tables are broadcast
+    by their measured size. No list of rules is built, only the distinct lengths of a host. A URL that is null or can't
+    be parsed is not allowed; a host without rules allows all.
     """
-    df = U.with_url_parts(urls, F.col(url), "_p").withColumn("host", F.col("_p_host"))
-    df = df.join(host_rules(rules), "host", "left")
-    path = F.concat("_p_path", F.col("_p_query"))
-    hits = F.transform(
-        F.filter("rules", lambda r: _matches(path, r)),
-        lambda r: F.struct(r["length"].alias("length"), r["allow"].alias("allow"), (-r["rule_ord"]).alias("first"), r["pattern"].alias("pattern")),
-    )
-    df = stage(df, _best=F.array_max(hits))
+    asked = urls.select(F.col(url).alias("_url")).distinct()
+    asked = U.with_url_parts(asked, F.col("_url"), "_p")
+    asked = asked.select("_url", F.col("_p_host").alias("host"), F.concat("_p_path", "_p_query").alias("_path"), F.pmod(F.xxhash64("_url"), F.lit(salts)).cast("int").alias("_salt"))
+    keys = rule_keys(rules).select("host", "prefix", "steps", "anchored", "rank", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
+    lengths = keys.groupBy("host", "_salt").agg(F.collect_set(F.length("prefix")).alias("_lengths"))
+    asked = asked.join(lengths, ["host", "_salt"], "left")
+    fitting = F.filter("_lengths", lambda n: n <= F.length("_path"))
+    asked = asked.select("_url", "host", "_salt", "_path", F.explode_outer(F.transform(fitting, lambda n: F.substring(F.col("_path"), F.lit(1), n))).alias("prefix"))
+    k = keys.alias("k")
+    on = (asked["host"] == F.col("k.host")) & (asked["_salt"] == F.col("k._salt")) & (asked["prefix"] == F.col("k.prefix"))
+    on &= F.col("k.steps").isNull() | _matches(asked["_path"], F.col("k.steps"), F.col("k.anchored"))
+    decided = asked.join(k, on, "left").groupBy("_url", asked["host"]).agg(F.max("k.rank").alias("_best"))
     allowed = F.when(F.col("host").isNull(), False).otherwise(F.coalesce("_best.allow", F.lit(True)))
-    df = df.withColumns({"allowed": allowed, "rule": F.col("_best.pattern")})
-    return U.drop_parts(df, "_p").drop("_best", "rules")
+    decided = decided.select("_url", "host", allowed.alias("allowed"), F.col("_best.pattern").alias("rule"))
+    rest = urls.drop("host", "allowed", "rule") if url not in ("host", "allowed", "rule") else urls
+    df = rest.join(decided, rest[url] == decided["_url"], "left").drop("_url")
+    return df.withColumn("allowed", F.coalesce("allowed", F.lit(False)))
 
 
 def crawl_edges(links: DataFrame, include_subdomains: bool = False) -> DataFrame:

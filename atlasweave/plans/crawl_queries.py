@@ -54,7 +54,7 @@ _SEED_SITES = "(SELECT s_suppkey AS k, 'h' || s_suppkey || '.example.com' AS sit
 
 
 @query("sitemap_seeds", f"""
-SELECT site, n AS seed, CASE n WHEN 1 THEN 'https://h' || from_k || '.example.com/a/?x=1&z=2' ELSE 'https://h.example.com/a/index.html?x=1' END AS url,
+SELECT site, CAST(n AS BIGINT) AS seed, CASE n WHEN 1 THEN 'https://h' || from_k || '.example.com/a/?x=1&z=2' ELSE 'https://h.example.com/a/index.html?x=1' END AS url,
  CASE n WHEN 1 THEN 'https://h' || from_k || '.example.com/a?x=1&z=2' ELSE 'https://h.example.com/a?x=1' END AS canonical_url
 FROM {_SEED_SITES}, (VALUES (1), (2)) v(n) WHERE from_k IN (SELECT s_suppkey FROM supplier)""")
 def sitemap_seeds(spark, sf):
@@ -63,6 +63,18 @@ def sitemap_seeds(spark, sf):
     return S.sitemap_seeds(starts, maps)
 
 
+@query("sitemap_frontier", with_views("v_sitemap_tree") + """,
+l AS (SELECT url, text LIKE '%<sitemapindex>%' AS is_index, unnest(regexp_extract_all(text, '<loc>([^<]*)</loc>', 1)) AS loc FROM v_sitemap_tree),
+r AS (SELECT 'a' || s_suppkey AS site, 'https://tree.example.com/' || s_suppkey || '.xml' AS url FROM supplier WHERE s_suppkey <= 4
+ UNION SELECT r.site, l.loc FROM r JOIN l ON l.url = r.url AND l.is_index)
+SELECT DISTINCT site, regexp_replace(replace(loc, '?utm_source=map', ''), '/(index.html)?$', '') AS canonical_url FROM r JOIN l USING (url) WHERE NOT is_index""")
+def sitemap_frontier(spark, sf):
+    """Indexes that name deeper, missing and earlier ones, followed to the end from four starts."""
+    starts = view(spark, sf, "supplier").filter("s_suppkey <= 4").select(
+        F.concat(F.lit("a"), F.col("s_suppkey").cast("string")).alias("site"), F.format_string("https://tree.example.com/%d.xml", "s_suppkey").alias("url"), F.lit(0).alias("pos"))
+    return S.sitemap_seeds(starts, view(spark, sf, "v_sitemap_tree")).select("site", "canonical_url")
+
+
 @query("crawl_reachability", with_views("v_links") + """, e AS MATERIALIZED (SELECT DISTINCT src, dst FROM v_links WHERE NOT nofollow AND dst NOT LIKE '%.pdf'),
 b AS (SELECT 'https://g.example.com/n-0' AS page, 0 AS depth UNION SELECT 'https://g.example.com/n-1', 0 UNION SELECT e.dst, b.depth + 1 FROM b JOIN e ON e.src = b.page WHERE b.depth < 5)
 SELECT page, min(depth) AS depth FROM b GROUP BY page""")

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .. import constants as K
 from ..functions import urls as U
+from ..functions.ordering import number_rows
 from ..functions.stages import stage
 from ..functions.text import decode_entities
+from ..session import written
 
 
 def robots_records(robots: DataFrame) -> DataFrame:
@@ -70,42 +71,50 @@ def _locations(fetched: DataFrame) -> DataFrame:
     """``<loc>`` entries of fetched sitemap texts, in order."""
     found = F.regexp_extract_all("text", F.lit(LOC), F.lit(1))
     df = fetched.withColumn("is_index", F.col("text").rlike("(?i)<sitemapindex"))
-    return df.select("site", "round", "rank", "is_index", F.posexplode(found).alias("pos", "raw")).withColumn(
+    return df.select("site", "rank", "is_index", F.posexplode(found).alias("pos", "raw")).withColumn(
         "loc", decode_entities(F.trim(F.col("raw")))
     ).drop("raw")
 
 
-def sitemap_seeds(starts: DataFrame, sitemaps: DataFrame) -> DataFrame:
-    """Crawl seeds of each site: page-like URLs of its sitemaps, distinct by canonical page URL.
+def sitemap_seeds(
+    starts: DataFrame, sitemaps: DataFrame, max_starts: int | None = None, max_follows: int | None = None, max_seeds: int | None = None
+) -> DataFrame:
+    """(site, seed, url, canonical_url): page-like URLs of the sitemaps of each site, distinct by canonical page URL, in order
+    of discovery.
 
-    ``starts`` is (site, url, pos): at most four start texts per site are read and three more
-    followed from index texts, breadth first, so a site's entries are bounded by seven files.
-    ``sitemaps`` is (url, text).
+    ``starts`` is (site, url, pos), ``sitemaps`` is (url, text). Index texts are followed breadth first to any depth: each
+    round joins only the texts that the round before named for the first time, and ends when there are none, so indexes
+    that name each other are read once. Every text is parsed once for each site that names it. The three limits are off by
+    default; with them, only the first starts, followed texts and seeds of a site count. Nulls have no seeds; equal
+    ``url`` values of ``sitemaps`` are parts of one map; a start given twice counts at its least position.
     """
-    site = Window.partitionBy("site")
     texts = sitemaps.select("url", "text")
-    first = starts.groupBy("site", "url").agg(F.min("pos").alias("pos"))
-    queue = first.withColumn("rank", F.row_number().over(site.orderBy("pos"))).filter(
-        F.col("rank") <= K.MAX_SITEMAP_FOLLOWS + 1
-    ).select("site", "url", F.lit(0).alias("round"), "rank", F.lit(0).alias("used"))
-    entries, known = None, queue.select("site", "url")
-    for n in range(K.MAX_SITEMAP_FOLLOWS + 1):
-        fetched = queue.join(texts, "url")
-        found = _locations(fetched).join(queue.select("site", "url", "rank", "used"), ["site", "rank"])
-        entries = found if entries is None else entries.unionByName(found)
-        children = found.filter("is_index").groupBy("site", F.col("loc").alias("child")).agg(
-            F.min(F.struct("rank", "pos")).alias("o"), F.max("used").alias("used")
-        ).withColumnRenamed("child", "url")
-        children = children.join(known, ["site", "url"], "left_anti")
-        children = children.withColumn("rank", F.row_number().over(site.orderBy("o")))
-        queue = children.filter(F.col("rank") + F.col("used") <= K.MAX_SITEMAP_FOLLOWS).select(
-            "site", "url", F.lit(n + 1).alias("round"), "rank", F.col("used")
-        )
-        queue = queue.withColumn("used", F.col("used") + F.count(F.lit(1)).over(site))
+    first = starts.filter("site is not null and url is not null").groupBy("site", "url").agg(F.min("pos").alias("pos"))
+    queue = number_rows(first, ["site"], ["pos", "url"], "rank").select("site", "url", "rank")
+    if max_starts is not None:
+        queue = queue.filter(F.col("rank") <= max_starts)
+    known, pages, followed, turn = queue.select("site", "url"), None, None, 0
+    while True:
+        found = written(_locations(queue.join(texts, "url")))
+        listed = found.filter("not is_index").select("site", F.lit(turn).alias("round"), "rank", "pos", "loc")
+        pages = listed if pages is None else pages.unionByName(listed)
+        children = found.filter("is_index").groupBy("site", F.col("loc").alias("url")).agg(F.min(F.struct("rank", "pos")).alias("o"))
+        children = children.join(known, ["site", "url"], "left_anti").select("site", "url", F.col("o.rank").alias("parent"), "o.pos")
+        queue = number_rows(children, ["site"], ["parent", "pos", "url"], "rank").select("site", "url", "rank")
+        if max_follows is not None:
+            used = F.lit(0)
+            if followed is not None:
+                queue, used = queue.join(followed.groupBy("site").agg(F.count(F.lit(1)).alias("used")), "site", "left"), F.coalesce("used", F.lit(0))
+            queue = queue.filter(F.col("rank") + used <= max_follows).select("site", "url", "rank")
+        if queue.isEmpty():
+            break
         known = known.unionByName(queue.select("site", "url"))
-    pages = entries.filter("not is_index")
+        followed = queue if followed is None else followed.unionByName(queue)
+        turn += 1
     pages = U.with_url_parts(pages, F.col("loc"), "_u").filter(U.page_like(F.col("_u_path")))
     pages = U.with_canonical(U.drop_parts(pages, "_u"), "loc", "canonical_url", page=True)
     unique = pages.groupBy("site", "canonical_url").agg(F.min(F.struct("round", "rank", "pos", "loc")).alias("o"))
-    ranked = unique.withColumn("seed", F.row_number().over(site.orderBy("o"))).filter(F.col("seed") <= K.MAX_SITEMAP_URLS)
-    return ranked.select("site", "seed", F.col("o.loc").alias("url"), "canonical_url")
+    seeds = number_rows(unique.select("site", "canonical_url", "o.*"), ["site"], ["round", "rank", "pos", "loc"], "seed")
+    if max_seeds is not None:
+        seeds = seeds.filter(F.col("seed") <= max_seeds)
+    return seeds.select("site", "seed", F.col("loc").alias("url"), "canonical_url")

@@ -174,6 +174,11 @@ FROM supplier""",
 SELECT 'https://h' || {_s('s_suppkey')} || '.example.com/sitemap.xml' AS url,
        CASE WHEN s_suppkey % 4 = 0 THEN '<sitemapindex><sitemap><loc>https://h' || {_s('s_suppkey + 1')} || '.example.com/sitemap.xml</loc></sitemap></sitemapindex>'
        ELSE '<urlset><url><loc> https://h' || {_s('s_suppkey')} || '.example.com/a/?x=1&amp;z=2 </loc></url><url><loc>https://h.example.com/a/index.html?x=1</loc></url><url><loc>https://h.example.com/a/?x=1&amp;v=3</loc></url><url><loc>https://h.example.com/f.pdf</loc></url></urlset>' END AS text
+FROM supplier""",
+    "v_sitemap_tree": f"""
+SELECT 'https://tree.example.com/' || {_s('s_suppkey')} || '.xml' AS url,
+       CASE WHEN s_suppkey % 5 <> 0 THEN '<sitemapindex><loc>https://tree.example.com/' || {_s('2 * s_suppkey')} || '.xml</loc><loc>https://tree.example.com/' || {_s('2 * s_suppkey + 1')} || '.xml</loc><loc>https://tree.example.com/' || {_s(_div('s_suppkey', 3))} || '.xml</loc></sitemapindex>'
+       ELSE '<urlset><loc>https://tree.example.com/d/' || {_s('s_suppkey % 9')} || '/index.html?utm_source=map</loc><loc>https://tree.example.com/p/' || {_s('s_suppkey')} || '/</loc></urlset>' END AS text
 FROM supplier""",
     "v_crs": f"""
 SELECT s_suppkey, CASE s_suppkey % 10 WHEN 0 THEN 'EPSG:4326' WHEN 1 THEN 'urn:ogc:def:crs:OGC:1.3:CRS84' WHEN 2 THEN 'urn:ogc:def:crs:EPSG::32643' WHEN 3 THEN 'WGS84' WHEN 4 THEN 'EPSG:900913' WHEN 5 THEN '102100' WHEN 6 THEN NULL WHEN 7 THEN 'EPSG:7755' WHEN 8 THEN 'epsg 3785' ELSE 'EPSG:' || {_s('32600 + s_suppkey')} END AS raw
