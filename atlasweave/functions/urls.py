@@ -11,11 +11,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from .hosts import ascii_host
 from .stages import stage
 from .text import percent_decode, strip
 
 _GRAMMAR = r"^([A-Za-z][A-Za-z0-9+.\-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?"
 _HOST = r'^(\[[0-9a-f:.]+\]|[^\x00-\x20"%/:<>?@\\\[\]^`{|}]+)$'
+#: Full-width forms of what a host must not hold; apart, as the pattern above is far faster while it names ASCII alone.
+_HOST_WIDE = r"[\uff02\uff05\uff0f\uff1a\uff1c\uff1e\uff1f\uff20\uff3b-\uff3e\uff40\uff5b-\uff5d]"
 _PATH_UNSAFE = r'[^\x21-\x7e]|["<>`{}^]'
 _QUERY_UNSAFE = r"""[^\x21-\x7e]|["<>#']"""
 PARTS = ("scheme", "user", "host", "port", "path", "query")
@@ -65,7 +68,7 @@ def with_url_parts(df: DataFrame, url: Column, p: str) -> DataFrame:
     df = stage(
         df,
         _user=F.regexp_extract(a, "^(.*)@", 1),
-        _host=F.lower(F.regexp_replace(F.regexp_replace(a, "^.*@", ""), ":[0-9]*$", "")),
+        _host=F.lower(F.replace(F.regexp_replace(F.regexp_replace(a, "^.*@", ""), ":[0-9]*$", ""), F.lit("Σ"), F.lit("σ"))),
         _port=F.regexp_replace(F.regexp_extract(a, ":([0-9]*)$", 1), "^0+([0-9])", "$1"),
         _path=_fold_dots(F.col("_path")),
         _q=_percent_encode(F.col("_q"), _QUERY_UNSAFE),
@@ -74,10 +77,11 @@ def with_url_parts(df: DataFrame, url: Column, p: str) -> DataFrame:
     valid = (
         F.col("_s").isin("http", "https")
         & F.col("_host").rlike(_HOST)
+        & ((F.octet_length("_host") == F.char_length("_host")) | ~F.col("_host").rlike(_HOST_WIDE))
         & (F.coalesce(port.try_cast("int"), F.lit(0)) <= 65535)
         & (F.length(port) <= 5)
     )
-    df = stage(df, _ok=valid, _path=_percent_encode(F.col("_path"), _PATH_UNSAFE))
+    df = stage(df, _ok=valid, _host=ascii_host("_host"), _path=_percent_encode(F.col("_path"), _PATH_UNSAFE))
     default = ((F.col("_s") == "http") & (port == "80")) | ((F.col("_s") == "https") & (port == "443"))
     ok = lambda c: F.when(F.col("_ok"), c)
     df = stage(

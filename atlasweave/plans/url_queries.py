@@ -46,6 +46,37 @@ def canonical_page_urls(spark, sf):
     return U.with_canonical(view(spark, sf, "pages").select("page_id", "url"), "url", "canonical_url", page=True)
 
 
+_LETTERS = "[a-z\\x{df}-\\x{f6}\\x{f8}-\\x{ff}]+"
+# The insertions of each label and their numbers as window functions, their digits as a recursion.
+_HOSTS = f"""
+WITH RECURSIVE w AS (SELECT DISTINCT word FROM (SELECT unnest(regexp_extract_all(lower(text), '{_LETTERS}')) AS word FROM documents) WHERE length(word) < strlen(word)),
+x AS (SELECT word AS label FROM w UNION SELECT reverse(word) FROM w),
+c AS (SELECT label, nth, unicode(substr(label, nth, 1)) AS code FROM (SELECT label, unnest(range(1, length(label) + 1)) AS nth FROM x)),
+i AS (SELECT a.label, a.code, a.nth, count(b.nth) AS place FROM c a LEFT JOIN c b ON b.label = a.label AND b.nth < a.nth AND b.code <= a.code WHERE a.code >= 128 GROUP BY ALL),
+d AS (SELECT label, k, size + k AS size, (code - before) * (size + k + 1) + place - beyond AS delta
+ FROM (SELECT label, code, place, row_number() OVER o - 1 AS k, lag(code, 1, 128) OVER o AS before, lag(place + 1, 1, 0) OVER o AS beyond FROM i WINDOW o AS (PARTITION BY label ORDER BY code, nth))
+ JOIN (SELECT label, count(*) FILTER (code < 128) AS size FROM c GROUP BY label) USING (label)),
+s AS (SELECT label, k, delta, scaled + scaled // size AS spread
+ FROM (SELECT *, lag(delta) OVER (PARTITION BY label ORDER BY k) // CASE WHEN k = 1 THEN 700 ELSE 2 END AS scaled FROM d)),
+b AS (SELECT label, k, delta, CASE WHEN k = 0 THEN 72 ELSE 36 * steps + 36 * (spread // pow(35, steps)::BIGINT) // (spread // pow(35, steps)::BIGINT + 38) END AS bias
+ FROM (SELECT *, CASE WHEN spread <= 455 THEN 0 WHEN spread // 35 <= 455 THEN 1 WHEN spread // 1225 <= 455 THEN 2 ELSE 3 END AS steps FROM s)),
+r AS (SELECT label, k, 0::BIGINT AS j, delta AS q, bias, 0::BIGINT AS digit, TRUE AS more FROM b
+ UNION ALL SELECT label, k, j + 1, (q - t) // (36 - t), bias, CASE WHEN q < t THEN q ELSE t + (q - t) % (36 - t) END, q >= t
+ FROM (SELECT *, least(greatest(36 * (j + 1) - bias, 1), 26) AS t FROM r WHERE more)),
+e AS (SELECT label, 'xn--' || CASE WHEN regexp_matches(label, '[a-z]') THEN regexp_replace(label, '[^a-z]', '', 'g') || '-' ELSE '' END
+  || string_agg(substr('abcdefghijklmnopqrstuvwxyz0123456789', digit::INTEGER + 1, 1), '' ORDER BY k, j) AS form FROM r WHERE j > 0 GROUP BY label)
+SELECT word, 'https://' || f.form || '.' || g.form || '.example/' AS canonical_url FROM w JOIN e f ON f.label = word JOIN e g ON g.label = reverse(word)"""
+
+
+@query("unicode_hosts", _HOSTS)
+def unicode_hosts(spark, sf):
+    """Hosts made of all words with letters beyond ASCII, and their reversed forms, in their canonical URLs."""
+    texts = view(spark, sf, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(_LETTERS), F.lit(0))).alias("word"))
+    words = texts.filter(F.col("word").rlike("[^a-z]")).distinct()
+    urls = words.withColumn("url", F.concat(F.lit("https://"), "word", F.lit("."), F.reverse("word"), F.lit(".EXAMPLE:443")))
+    return U.with_canonical(urls, "url").select("word", "canonical_url")
+
+
 def _p(url: str = "original_url", src: str = REFS) -> str:
     return D.parts(src, url, "p")
 
