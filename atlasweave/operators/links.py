@@ -26,10 +26,12 @@ def _compact(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), r"[^\w]", "")
 
 
-def _best(df: DataFrame, *key: str) -> DataFrame:
-    """The ``MAX_LINKED_IMAGES`` largest images per key, limited before and after the shuffle."""
+def _best(df: DataFrame, most: int | None, *key: str) -> DataFrame:
+    """The ``most`` largest images per key, limited before and after the shuffle; all of them without a limit."""
+    if most is None:
+        return df
     order = Window.partitionBy(*key).orderBy(F.desc("area"), "seq")
-    return df.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= K.MAX_LINKED_IMAGES).drop("_n")
+    return df.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= most).drop("_n")
 
 
 def candidate_images(images: DataFrame, page_images: DataFrame) -> DataFrame:
@@ -70,7 +72,7 @@ def overlay_images(overlays: DataFrame, candidates: DataFrame) -> DataFrame:
     return first
 
 
-def reference_images(parcels: DataFrame, candidates: DataFrame) -> DataFrame:
+def reference_images(parcels: DataFrame, candidates: DataFrame, most: int | None = K.MAX_LINKED_IMAGES) -> DataFrame:
     """(source_page, key, image) where the image's text holds the parcel reference ``key``.
 
     Texts are cut at the reference lengths that occur on their page, which makes "contains"
@@ -88,12 +90,17 @@ def reference_images(parcels: DataFrame, candidates: DataFrame) -> DataFrame:
         )
     )
     keyed = texts.select("source_page", "asset_id", "seq", "area", F.explode(pieces).alias("key"))
-    return _best(keyed.join(wanted, ["source_page", "key"]), "source_page", "key")
+    return _best(keyed.join(wanted, ["source_page", "key"]), most, "source_page", "key")
 
 
-def parcel_images(parcels: DataFrame, images: DataFrame, page_images: DataFrame, overlays: DataFrame) -> DataFrame:
-    """The twelve best image links of each parcel, with confidence, reason and rank.
+def parcel_images(
+    parcels: DataFrame, images: DataFrame, page_images: DataFrame, overlays: DataFrame, most: int | None = K.MAX_LINKED_IMAGES
+) -> DataFrame:
+    """The ``most`` best image links of each parcel, with confidence, reason and rank; every link where it is None.
 
+    With a limit no join key meets more than that many images, so a page of many images and parcels is never paired whole.
+    Without one the result itself holds each parcel of a page with each of its images, and ``rank`` is null: it would need
+    an order over all of them.
     ``parcels`` has parcel_id, map_id, source_page, reference, name and folder_path.
     """
     p = parcels.select("parcel_id", "map_id", "source_page", "reference", "name", "folder_path")
@@ -106,13 +113,13 @@ def parcel_images(parcels: DataFrame, images: DataFrame, page_images: DataFrame,
     found = candidate_images(images, page_images)
     near = found.filter("same_page")
     by_overlay = overlay_images(overlays, found)
-    by_word = _best(near.select("source_page", "asset_id", "seq", "area", F.explode("words").alias("key")), "source_page", "key")
-    by_page = _best(near.select("source_page", "asset_id", "seq", "area"), "source_page")
+    by_word = _best(near.select("source_page", "asset_id", "seq", "area", F.explode("words").alias("key")), most, "source_page", "key")
+    by_page = _best(near.select("source_page", "asset_id", "seq", "area"), most, "source_page")
     words = lambda way: p.select("parcel_id", "source_page", F.explode(way).alias("key"))
     keep = ["parcel_id", "asset_id", "seq", "area"]
     linked = [
-        p.select("parcel_id", "map_id").join(_best(by_overlay.drop("overlay"), "map_id"), "map_id"),
-        p.select("parcel_id", "source_page", F.col("ref_compact").alias("key")).join(reference_images(p, found), ["source_page", "key"]),
+        p.select("parcel_id", "map_id").join(_best(by_overlay.drop("overlay"), most, "map_id"), "map_id"),
+        p.select("parcel_id", "source_page", F.col("ref_compact").alias("key")).join(reference_images(p, found, most), ["source_page", "key"]),
         words("wording").join(by_word, ["source_page", "key"]),
         words("place").join(by_word, ["source_page", "key"]),
         p.select("parcel_id", "source_page").join(by_page, "source_page"),
@@ -125,7 +132,10 @@ def parcel_images(parcels: DataFrame, images: DataFrame, page_images: DataFrame,
     confidence = F.when(F.col("way") <= 1, "verified").when(F.col("way") <= 3, "probable").otherwise("unverified")
     strength = F.when(F.col("way") <= 1, 0).when(F.col("way") <= 3, 1).otherwise(2)
     order = Window.partitionBy("parcel_id").orderBy(strength, F.desc("area"), "seq")
-    top = best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= K.MAX_LINKED_IMAGES)
+    if most is None:
+        top = best.withColumn("rank", F.lit(None).cast("int"))
+    else:
+        top = best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
     reference = parcels.select("parcel_id", "reference")
     reason = (
         F.when(F.col("way") == 0, K.LINK_REASONS["overlay"])

@@ -264,6 +264,16 @@ def parcel_image_top12(spark, sf):
     )
 
 
+@query("parcel_link_counts", LINKED.replace("WHERE rank <= 12", "") + """
+ SELECT parcel_id, count(*) AS links, count(*) FILTER (way <= 1) AS verified, count(*) FILTER (way IN (2, 3)) AS probable, sum(area)::BIGINT AS area FROM lk GROUP BY parcel_id""")
+def parcel_link_counts(spark, sf):
+    """Every image link of each parcel, counted by its confidence."""
+    m = Model(spark, sf)
+    links = LK.parcel_images(m.records, m.images, m.page_images, m.overlays, most=None)
+    count = lambda kind: F.count_if(F.col("confidence") == kind).alias(kind)
+    return links.groupBy("parcel_id").agg(F.count(F.lit(1)).alias("links"), count("verified"), count("probable"), F.sum("area").cast("bigint").alias("area"))
+
+
 @query("best_image", LINKED + f" SELECT parcel_id, asset_id, confidence FROM ({_LINK_OUT}) WHERE rank = 1")
 def best_image(spark, sf):
     return P.best_images(Model(spark, sf).links).select("parcel_id", "asset_id", "confidence")
