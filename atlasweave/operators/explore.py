@@ -129,12 +129,13 @@ def facet_pages(references: DataFrame, search: str = "", limit: int | None = Non
     )
     from ..functions.urls import with_page_label
 
-    df = with_page_label(per_page, "source_page", "label")
     needle = search.strip().lower()
-    if needle:
-        df = df.filter(F.lower("source_page").contains(needle) | F.lower("label").contains(needle))
     top = limit or (MAX_FOUND_PAGES if needle else MAX_FACET_PAGES)
-    return df.orderBy(F.desc("count"), "source_page").limit(top)
+    first = lambda df: df.orderBy(F.desc("count"), "source_page")
+    if not needle:  # only the pages that are listed need a label
+        return first(with_page_label(first(per_page).limit(top), "source_page", "label"))
+    df = with_page_label(per_page, "source_page", "label")
+    return first(df.filter(F.lower("source_page").contains(needle) | F.lower("label").contains(needle))).limit(top)
 
 
 SORT_KEYS = {

@@ -8,7 +8,7 @@ from .. import constants as K
 from ..operators import archives as AR, assets as A, explore as X, export as E
 from ..views import view, with_views
 from . import duck as D
-from .asset_queries import ASSETS, DUPLICATES_CTE, VERIFIED, assets, refs, verified
+from .asset_queries import ASSETS, DUPLICATES_CTE, VERIFIED, assets, verified
 from .registry import query
 from .text_queries import _CLASSIFY_IN, duck_classify
 
@@ -105,17 +105,17 @@ _LABEL = "regexp_replace(source_page, '^https://(site[0-9]+\\.example\\.co\\.in)
 
 @query("facet_pages", ASSETS + f" SELECT source_page, {_LABEL} AS label, count FROM ({_PAGE_COUNTS}) ORDER BY count DESC, source_page LIMIT 200")
 def facet_pages(spark, sf):
-    from ..functions.urls import asset_id, with_canonical
+    from ..functions.urls import asset_id
 
-    r = with_canonical(refs(spark, sf), "resolved_url", "canonical_url")
+    r = A.identified_refs(view(spark, sf, "v_refs"))
     return X.facet_pages(r.withColumn("asset_id", asset_id(F.col("scan_id"), F.col("canonical_url"))))
 
 
 @query("facet_pages_search", ASSETS + f" SELECT * FROM (SELECT source_page, {_LABEL} AS label, count FROM ({_PAGE_COUNTS})) WHERE contains(lower(source_page), 'maps/p-1') OR contains(lower(label), 'maps/p-1') ORDER BY count DESC, source_page LIMIT 40")
 def facet_pages_search(spark, sf):
-    from ..functions.urls import asset_id, with_canonical
+    from ..functions.urls import asset_id
 
-    r = with_canonical(refs(spark, sf), "resolved_url", "canonical_url")
+    r = A.identified_refs(view(spark, sf, "v_refs"))
     return X.facet_pages(r.withColumn("asset_id", asset_id(F.col("scan_id"), F.col("canonical_url"))), search="MAPS/p-1")
 
 
