@@ -36,3 +36,13 @@ def test_features_are_derived_once_for_their_numbers(spark, monkeypatch):
     monkeypatch.setattr(P, "number_rows", lambda df, *rest: seen.append(df._jdf.queryExecution().optimizedPlan().toString()) or number(df, *rest))
     P.parcels(features(spark, "/root/testdata/sf0.001").withColumn("scan_id", F.lit("all")))
     assert "Generate" not in seen[0]
+
+
+def test_the_grammar_is_built_once(spark, monkeypatch):
+    df = spark.createDataFrame([("http://a.test/", "x")], "u string, r string")
+    U.with_url_parts(df, F.col("u"), "p")
+    built = []
+    make = U._any_parts
+    monkeypatch.setattr(U, "_any_parts", lambda url: built.append(1) or make(url))
+    U.with_url_parts(U.with_resolved(df, "r", "u"), F.col("u"), "p")
+    assert built == []
