@@ -20,8 +20,7 @@ _TREE = "(SELECT p_partkey AS page_id, p_size AS size, p_name AS name, 'https://
 
 
 def _slice(spark, sf, *sources, geo=False):
-    df = R.scan_references(view(spark, sf, "v_html"))
-    return df.filter((F.col("geo") == geo) & F.col("source_type").isin(*sources))
+    return R.scan_references(view(spark, sf, "v_html"), list(sources)).filter(F.col("geo") == geo)
 
 
 @query("refs_img_src", f"SELECT page_id, dir || 'img/p-' || page_id || '.png' AS resolved_url, 'img/p-' || page_id || '.png' AS original_url, 'Survey ' || size AS alt_text, CAST(size AS INTEGER) AS declared_width, CAST(NULL AS INTEGER) AS declared_height FROM {_HTML}")
