@@ -36,16 +36,18 @@ def _matches(path: Column, steps: Column, anchored: Column) -> Column:
     return F.startswith(path, steps[0]) & (end > 0) & (~anchored | (tail == "") | F.endswith(path, tail))
 
 
-def robots_allowed(urls: DataFrame, rules: DataFrame, url: str = "url", salts: int = 8) -> DataFrame:
+def robots_allowed(urls: DataFrame, rules: DataFrame, url: str = "url", salts: int = 8, unique: bool = False) -> DataFrame:
     """Add ``host``, ``allowed`` and the deciding ``rule``: the longest match wins, allow wins ties.
 
     Each distinct URL is looked up under those of its prefixes whose lengths occur among the rules of its host; the rules
     meet it by equality on (host, prefix), and only those with wildcards are compared further. Rules are repeated for each
     of ``salts`` shares of a host's URLs, so that one large site is spread over tasks; small rule tables are broadcast
     by their measured size. No list of rules is built, only the distinct lengths of a host. A URL that is null or can't
-    be parsed is not allowed; a host without rules allows all.
+    be parsed is not allowed; a host without rules allows all. ``unique`` states that ``urls`` holds each URL once: it is then
+    not reduced again, and read once where it has no other columns.
     """
-    asked = urls.select(F.col(url).alias("_url")).distinct()
+    asked = urls.select(F.col(url).alias("_url"))
+    asked = asked if unique else asked.distinct()
     asked = U.with_url_parts(asked, F.col("_url"), "_p")
     asked = asked.select("_url", F.col("_p_host").alias("host"), F.concat("_p_path", "_p_query").alias("_path"), F.pmod(F.xxhash64("_url"), F.lit(salts)).cast("int").alias("_salt"))
     keys = rule_keys(rules).select("host", "prefix", "steps", "anchored", "rank", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
@@ -60,6 +62,8 @@ def robots_allowed(urls: DataFrame, rules: DataFrame, url: str = "url", salts: i
     allowed = F.when(F.col("host").isNull(), False).otherwise(F.coalesce("_best.allow", F.lit(True)))
     decided = decided.select("_url", "host", allowed.alias("allowed"), F.col("_best.pattern").alias("rule"))
     rest = urls.drop("host", "allowed", "rule") if url not in ("host", "allowed", "rule") else urls
+    if unique and rest.columns == [url]:
+        return decided.select(F.col("_url").alias(url), "host", "allowed", "rule")
     df = rest.join(decided, rest[url] == decided["_url"], "left").drop("_url")
     return df.withColumn("allowed", F.coalesce("allowed", F.lit(False)))
 

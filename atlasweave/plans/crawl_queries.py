@@ -41,12 +41,12 @@ _ALLOWED = with_views("v_rules", "v_rule_urls") + f""", m AS (SELECT u.url, r.al
 
 @query("robots_allowed", _ALLOWED + " SELECT url, coalesce((SELECT arg_max(allow, k) FROM m WHERE m.url = u.url), TRUE) AS allowed FROM v_rule_urls u")
 def robots_allowed(spark, sf):
-    return C.robots_allowed(view(spark, sf, "v_rule_urls"), view(spark, sf, "v_rules")).select("url", "allowed")
+    return C.robots_allowed(view(spark, sf, "v_rule_urls"), view(spark, sf, "v_rules"), unique=True).select("url", "allowed")
 
 
 @query("robots_join", _ALLOWED + " SELECT url, arg_max(pattern, k) AS rule, arg_max(allow, k) AS allowed FROM m GROUP BY url")
 def robots_join(spark, sf):
-    df = C.robots_allowed(view(spark, sf, "v_rule_urls"), view(spark, sf, "v_rules"))
+    df = C.robots_allowed(view(spark, sf, "v_rule_urls"), view(spark, sf, "v_rules"), unique=True)
     return df.filter("rule is not null").select("url", "rule", "allowed")
 
 
