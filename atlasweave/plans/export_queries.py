@@ -73,7 +73,7 @@ bs AS (SELECT *, CASE WHEN kml_path IS NOT NULL AND image_path IS NOT NULL THEN
 
 
 def _layout(spark, sf):
-    model = Model(spark, sf)
+    model = Model(spark, sf, [*Model.LINKED, "ord", "nodes", "location_id", "kml_available", "geometry_availability"])
     trails = PL.location_trails(model.places)
     n = (F.col("width") / 100).cast("int")
     responses = model.images.select(
