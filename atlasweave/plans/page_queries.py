@@ -118,7 +118,7 @@ def page_nofollow(spark, sf):
 
 @query("ref_dimensions", f"SELECT page_id, source_type, CAST(w AS INTEGER) AS declared_width, CAST(NULL AS INTEGER) AS declared_height FROM (SELECT page_id, 'img' AS source_type, size AS w FROM {_HTML} UNION ALL SELECT page_id, 'srcset', 320 FROM {_HTML})")
 def ref_dimensions(spark, sf):
-    df = R.scan_references(view(spark, sf, "v_html")).filter("not geo and source_type in ('img', 'srcset') and declared_width is not null")
+    df = _slice(spark, sf, "img", "srcset").filter("declared_width is not null")
     return df.select("page_id", "source_type", "declared_width", "declared_height")
 
 
